@@ -39,15 +39,15 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
-    """(text, label) of every labelled document outside the held-out fold.
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, what: str = "text") -> DataFrame:
+    """(``what``, label) of every labelled document outside the held-out fold.
 
     Null ids and null labels teach nothing; several labels of one document each count once.
     """
     named = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("__label"))
     named = named.where(fold(F.col("doc_id"), modulus) != held).distinct()
-    rows = docs.where(fold(F.col("doc_id"), modulus) != held).select("doc_id", "text")
-    return rows.join(named, "doc_id").select("text", "__label")
+    rows = docs.where(fold(F.col("doc_id"), modulus) != held).select("doc_id", what)
+    return rows.join(named, "doc_id").select(what, "__label")
 
 
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:

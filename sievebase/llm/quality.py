@@ -74,12 +74,12 @@ class Discriminant:
 
 
 def fit(rows: DataFrame) -> Discriminant:
-    """From (text, __label): per class and partition one row of count, sums and outer products."""
+    """From (x, __label), x being the features' bytes: per class and partition one row of count, sums and outer products."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            x, y = features(batch.column("text")), np.array(batch.column("__label").to_pylist())
+            x, y = unpacked(batch.column("x")), np.array(batch.column("__label").to_pylist())
             x1 = np.column_stack([np.ones(len(x)), x])
             for c in (0, 1):
                 own = x1[y == c]
@@ -100,26 +100,43 @@ def fit(rows: DataFrame) -> Discriminant:
     return Discriminant(out)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Discriminant:
-    return fit(learning_rows(docs, labels, "quality", MODULUS, HELD))
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id and the features' bytes of every row: 88 bytes that stand for the text from here on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [row.tobytes() for row in features(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(x, pa.binary())], ["doc_id", "x"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary")
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(x, np.float64) for x in column.to_pylist()]).reshape(-1, N_FEATURES)
+
+
+def train(points: DataFrame, labels: DataFrame) -> Discriminant:
+    """From :func:`described` documents and their labels; only features are joined, never texts."""
+    return fit(learning_rows(points, labels, "quality", MODULUS, HELD, "x"))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
-    model = train(docs, labels)
+    points = checkpointed(described(docs))
+    model = train(points, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(model.score(features(batch.column("text"))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(unpacked(batch.column("x"))))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = points.mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(fold(F.col("doc_id"), MODULUS) == HELD, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
-    model = train(docs, labels)
+    model = train(described(docs), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,9 +5,9 @@ logistic model over the rates of words and word stems minimises the class-prior-
 ``pi E_p[l(+)] + max(0, E_u[l(-)] - pi E_p[l(-)])``; when the bracket turns negative, the step is taken
 against it (the non-negative correction).  The prior is the toxic share of the labelled learning rows.
 
-Which stems become features is decided from document frequencies over *all* learning documents.  The
-numpy model itself is fitted on at most ``MAX_POSITIVE`` positive and ``MAX_UNLABELLED`` unlabelled
-documents, chosen by the hash of their id; these bounds are the only sample.
+Features and model are fitted on at most ``MAX_POSITIVE`` positive and ``MAX_UNLABELLED`` unlabelled
+documents, chosen by the hash of their id; these bounds are the only sample, the prior and the scores
+cover all rows.
 
 Defined results: a null text is scored as the empty text; null ids or labels teach nothing; without a
 positive learning row every score is the prior (0 without labels); repeated rows each give one row;
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, learning_rows, sigmoid, texts
+from .common import checkpointed, fold, sigmoid, texts
 
 MODULUS, HELD = 5, 0
 THRESHOLD = 0.5
@@ -69,42 +69,30 @@ def rates(counts: Counter[str], columns: dict[str, int], lookup: dict[str, tuple
     return np.minimum(3.0, np.log1p(300.0 * x / (total + 100.0)))
 
 
-def select_features(docs: DataFrame, positive: DataFrame, n_features: int = N_FEATURES) -> tuple[list[str], int, int]:
-    """Stems whose share of documents differs most between positives and the rest, and both sizes.
+def stem_counts(rows: DataFrame, only: set[str] | None) -> DataFrame:
+    """(stem, n): in how many texts a stem (of ``only``, if given) occurs; the stem '' counts texts.
 
-    Positives' stems are counted first; only those in ``MIN_DOCUMENTS`` positives are then counted in
-    the other documents, so the shuffle holds candidates only.  Per batch, counts are summed before
-    they leave the task.
+    Counts are summed within a task's batches before they are shuffled.
     """
 
-    def count(column: str, only: set[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found: Counter[str] = Counter()
-                lookup: dict[str, list[str]] = {}
-                for text in texts(batch.column("text")):
-                    own: set[str] = set()
-                    for w in set(_WORD.findall(text.lower())):
-                        if (s := lookup.get(w)) is None:
-                            s = lookup[w] = stems(w) if only is None else [x for x in stems(w) if x in only]
-                        own.update(s)
-                    found.update(own)
-                found[""] += batch.num_rows
-                yield pa.RecordBatch.from_pydict({"stem": pa.array(list(found), pa.string()), column: pa.array(list(found.values()), pa.int64())})
-
-        return run
-
-    p = positive.select("text").mapInArrow(count("n", None), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-    # the most frequent stems of the positives; a stem outside them can't be among the best few hundred
-    known = {r["stem"]: r["n"] for r in p.where((F.col("n") >= MIN_DOCUMENTS) | (F.col("stem") == "")).orderBy(F.desc("n"), "stem").limit(100 * n_features).collect()}
-    n_p = known.pop("", 0)
-    if not n_p:
-        return [], 0, 0
-    every = docs.select("text").mapInArrow(count("n", set(known)), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()
-    seen = {r["stem"]: r["n"] for r in every}
-    n_all = max(seen.pop("", 0), n_p + 1)
-    gain = lambda s: (known[s] / n_p - max(0, seen.get(s, 0) - known[s]) / (n_all - n_p)) / math.sqrt(max(seen.get(s, 0), known[s]) + 1)
-    return sorted(known, key=lambda s: (-gain(s), s))[:n_features], n_p, n_all
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter[str] = Counter({"": batch.num_rows})
+            for text in texts(batch.column("text")):
+                found.update({s for w in set(_WORD.findall(text.lower())) for s in stems(w) if only is None or s in only})
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["stem", "n"])
+
+    return rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+
+
+def select_features(rows: DataFrame, n_features: int = N_FEATURES) -> list[str]:
+    """Stems whose share of documents differs most between positives (``p``) and the other rows."""
+    frequent = stem_counts(rows.where("p"), None).where((F.col("n") >= MIN_DOCUMENTS) | (F.col("stem") == ""))
+    p = {r["stem"]: r["n"] for r in frequent.orderBy(F.desc("n"), "stem").limit(100 * n_features).collect()}
+    u = {r["stem"]: r["n"] for r in stem_counts(rows.where("NOT p"), set(p)).collect()}
+    n_p, n_u = p.pop("", 0), max(1, u.pop("", 0))
+    gain = lambda s: (p[s] / n_p - u.get(s, 0) / n_u) / math.sqrt(p[s] + u.get(s, 0) + 1)
+    return sorted(p, key=lambda s: (-gain(s), s))[:n_features]
 
 
 class Model:
@@ -137,37 +125,44 @@ def non_negative_pu(xp: np.ndarray, xu: np.ndarray, prior: float, l2: float = L2
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = learning_rows(docs, labels, "toxic", MODULUS, HELD)
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, float]:
+    """(p, text) of the drawn positives and unlabelled rows (None without positives); the class prior.
+
+    Ids are drawn by their hash at a rate that keeps each list near, and a limit keeps it under, its
+    bound; only those ids (a bounded table, broadcast) meet the documents, so no text is shuffled.
+    """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), MODULUS) != HELD))
     toxic, labelled = usable.agg(F.sum((F.col("toxic") == 1).cast("long")), F.count("*")).first()
-    prior = (toxic or 0) / labelled if labelled else 0.0
+    if not toxic:
+        return None, 0.0
+    ticket = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_000))
     learning = docs.where(fold(F.col("doc_id"), MODULUS) != HELD).select("doc_id", "text")
-    columns, n_p, n_all = select_features(learning, rows.where("__label = 1"))
-    if not n_p or not columns or not 0 < prior < 1:
-        return Model([], np.zeros(0), math.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
+    positive = usable.where((F.col("toxic") == 1) & (ticket < int(1e6 * min(1.0, 0.9 * MAX_POSITIVE / toxic)))).select("doc_id").distinct().limit(MAX_POSITIVE)
+    drawn = learning.where(ticket < int(1e6 * min(1.0, 0.9 * MAX_UNLABELLED / max(1, docs.count())))).select("doc_id").distinct()
+    unlabelled = drawn.join(usable.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").limit(MAX_UNLABELLED)
+    chosen = checkpointed(positive.withColumn("p", F.lit(True)).unionByName(unlabelled.withColumn("p", F.lit(False))))
+    return checkpointed(learning.join(F.broadcast(chosen), "doc_id").select("p", "text")), toxic / labelled
+
 
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    rows, prior = sample(docs, labels)
+    columns = [] if rows is None else select_features(rows)
+    if not columns or prior >= 1:
+        return Model([], np.zeros(0), math.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
     index = {s: j for j, s in enumerate(columns)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             x = [rates(word_counts(t), index, lookup).astype(np.float32).tobytes() for t in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], ["x"])
-
-    def matrix(rows: DataFrame, share: float, bound: int) -> np.ndarray:
-        # about `bound` rows, by the hash of the id; the margin keeps the limit from cutting often
-        chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-        got = chosen.select("text").mapInArrow(vectors, "x binary").limit(bound).collect()
-        return np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float64).reshape(-1, len(columns))
-
-    xp = matrix(rows.where("__label = 1").select("text"), min(1.0, 0.9 * MAX_POSITIVE / n_p), MAX_POSITIVE)
-    toxic_ids = usable.where("toxic = 1").select("doc_id").distinct()
-    unlabelled = learning.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, 0.9 * MAX_UNLABELLED / n_all) * 1_000_000))
-    xu = matrix(unlabelled.join(toxic_ids, "doc_id", "left_anti"), 1.0, MAX_UNLABELLED)
-    if not len(xp) or not len(xu):
+            yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array(x, pa.binary())], ["p", "x"])
+
+    got = rows.mapInArrow(vectors, "p boolean, x binary").toArrow()  # bounded by the sample's two limits
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, len(columns))
+    p = got.column("p").to_numpy(zero_copy_only=False).astype(bool)
+    if p.all():
         return Model([], np.zeros(0), math.log(prior / (1 - prior)))
-    return Model(columns, *non_negative_pu(xp, xu, prior))
+    return Model(columns, *non_negative_pu(x[p], x[~p], prior))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
