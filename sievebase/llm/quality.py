@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, learning_rows, sigmoid
+from .common import checkpointed, fold, learning_rows, sigmoid
 from .textstats import batch_stats
 
 MODULUS, HELD = 4, 2
