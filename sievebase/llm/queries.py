@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, quality, rules, sharding, simhash, toxicity
+from . import decontam, html, langid, packing, quality, rules, sharding, simhash, toxicity
 from .common import table
 
 
@@ -20,6 +20,14 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +50,8 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op3_quality_classifier": op3_quality_classifier,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
