@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, packing, quality, rules, sharding, simhash, toxicity
+from . import decontam, html, langid, lm, packing, quality, rules, sharding, simhash, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op3_quality_classifier": op3_quality_classifier,
+    "op6_deleted_interpolation": op6_deleted_interpolation,
     "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
