@@ -26,4 +26,5 @@ def stream_find(file: FileDef, criteria: Criteria | str) -> DataFrame:
 def value_counts(found: DataFrame, name: str, time: str, width: str, late: str) -> DataFrame:
     """(start, value, n) per window of event time; rows later than ``late`` are let go, as a watermark does."""
     w = F.window(time, width)
+    found = found.withColumn(time, F.col(time).cast("timestamp"))
     return found.withWatermark(time, late).groupBy(w, F.col(f"`{name}`").alias("value")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "value", "n")
