@@ -23,7 +23,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, fresh
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -116,12 +116,12 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     """
     keyed = docs.select("text", F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"))
     hits = scan(keyed, benchmark, ["__id", "__th"], window).where(F.size("hit_positions") > 0)
-    hits = hits.select("__id", "__th", "hit_positions", F.size("items").alias("__items"))
-    same = docs["doc_id"].eqNullSafe(hits["__id"]) & (F.xxhash64(docs["text"]) == hits["__th"])
-    joined = docs.join(hits, same, "left").where(F.col("__items").isNull() | (F.col("__items") < min_items))
-    cut = F.when(F.col("__items").isNull(), docs["text"]).otherwise(_without(docs["text"], F.col("hit_positions")))
-    columns = [(cut if c == "text" else docs[c]).alias(c) for c in docs.columns]
-    return joined.select(*columns)
+    names = [fresh(f"__leak_{k}", docs.columns) for k in ("id", "th", "at", "items")]
+    hits = hits.select("__id", "__th", "hit_positions", F.size("items")).toDF(*names)
+    leak_id, leak_hash, leak_at, leak_items = (F.col(c) for c in names)
+    joined = docs.join(hits, F.col("doc_id").eqNullSafe(leak_id) & (F.xxhash64("text") == leak_hash), "left").where(leak_items.isNull() | (leak_items < min_items))
+    cut = F.when(leak_items.isNull(), F.col("text")).otherwise(_without(F.col("text"), leak_at))
+    return joined.select(*((cut if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def _without(text: Column, positions: Column) -> Column:

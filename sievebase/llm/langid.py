@@ -31,6 +31,9 @@ from .common import checkpointed, fold, texts
 MODULUS, HELD = 5, 0
 UNDETERMINED = "und"
 DOCS_PER_LANG = 400
+#: Up to so many languages their sampling rates are broadcast, so that no text is shuffled; beyond, the
+#: same join runs as a shuffle join.
+MAX_BROADCAST_LANGS = 10_000
 ORDER = 4
 CALIBRATION = 0.995
 ALPHABET = 2_000  # share of the uniform distribution at the bottom
@@ -98,12 +101,12 @@ class Model:
             h = hashed(np.array([[ord(c) for c in g] for g in grams], np.int64).reshape(len(grams), n))
             at = np.argsort(h)
             self.grams.append(h[at])
-            self.logp.append(np.log(np.array([[m.p(g) for m in models] for g in grams]).reshape(-1, len(models)))[at])
+            self.logp.append(np.log(np.array([[m.p(g) for m in models] for g in grams]).reshape(len(grams), len(models)))[at])
             contexts = sorted(set().union(*(m.backoff[n - 1] for m in models)))
             h = hashed(np.array([[ord(c) for c in g] for g in contexts], np.int64).reshape(len(contexts), n - 1))
             at = np.argsort(h)
             self.contexts.append(h[at])
-            self.logb.append(np.log(np.array([[m.backoff[n - 1].get(g, 1.0) for m in models] for g in contexts]).reshape(-1, len(models)))[at])
+            self.logb.append(np.log(np.array([[m.backoff[n - 1].get(g, 1.0) for m in models] for g in contexts]).reshape(len(contexts), len(models)))[at])
         self.cutoffs = np.full(len(self.langs), np.inf)
 
     def word_scores(self, unique: list[str]) -> np.ndarray:
@@ -167,7 +170,9 @@ def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> DataFrame:
     """(lang, text, calibrate) of about ``per_lang`` learning rows of each language."""
     rows = docs.where((fold(F.col("doc_id"), MODULUS) != HELD) & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))).select("lang", "share")
+    sizes = checkpointed(rows.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))).select("lang", "share"))
+    if sizes.count() <= MAX_BROADCAST_LANGS:
+        sizes = F.broadcast(sizes)
     ticket = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_000))
     drawn = rows.select("lang", "text", ticket.alias("ticket")).join(sizes, "lang").where(F.col("ticket") < F.col("share") * 1_000_000)
     return checkpointed(drawn.select("lang", "text", (F.col("ticket") % 10 == 0).alias("calibrate")))
