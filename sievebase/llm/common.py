@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of frames that nothing refers to any more.
+
+    Spark's cleaner acts when the driver's garbage is collected, which on a large heap can be long after
+    a checkpoint has made the files useless.  Only a hint: results don't depend on it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """A new path for tables in the shared checkpoint folder."""
     return f"{_shared(spark)}/{uuid.uuid4().hex}"

@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, checkpointed
+from .common import LOWER_BYTES, checkpointed, release_shuffles
 from .textstats import as_binary
 
 MODULUS, HELD, DELETED = 7, 2, 5
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 2_000_000
 GRAMS_PER_TASK = 1_500_000
 BUCKETS = 12
 EM_ROUNDS = 60
@@ -52,11 +52,16 @@ _ENCODED = "chunk long, role int, n_tokens long, ids binary, lengths binary, tok
 
 
 def packed(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
+    """Compressed byte plane by byte plane: the high planes of small numbers are runs of zeros."""
+    import zstandard
+
+    return zstandard.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
 
 
 def unpacked(x: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 class Chunk:
@@ -81,7 +86,7 @@ class Chunk:
         from xxhash import xxh64_intdigest
 
         hashes = np.array([*_MARKS, *(xxh64_intdigest(w) for w in self.numbers)], np.uint64)
-        ids = np.array([[x is not None, x or 0] for x in self.ids], np.int64)
+        ids = np.array([v for x in self.ids for v in (x is not None, x or 0)], np.int64)
         return {"chunk": number, "role": self.role, "n_tokens": self.size, "ids": packed(ids), "lengths": packed(np.array(self.lengths, np.int64)), "tokens": packed(np.concatenate(self.tokens)), "hashes": hashes.tobytes()}
 
 
@@ -228,6 +233,7 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     n_fit, n = sizes.get(FIT, 0), sizes.get(FIT, 0) + sizes.get(EM, 0)
     ranges = max(1, -(-2 * sum(sizes.values()) // GRAMS_PER_TASK))
     counted = checkpointed(answers(requests(encoded, ranges)))
+    release_shuffles(docs.sparkSession)  # the requests' files, the largest of all, have served
     v = counted.where("role = -1").agg(F.sum("chunk")).first()[0] or 0
     counted = counted.where("role >= 0")
 
@@ -245,7 +251,8 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
         for row in chunk.to_pylist():
             g = Grams(row)
             context, word, pair = g.seen(found.to_pylist(), ranges, ("fit", "em"))
-            p = (estimates(context, word, pair, n, v) * weights[bucket(context)]).sum(1)
+            w = weights[bucket(context)]
+            p = w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (word / max(n, 1)) + w[:, 2] / (v + 1)
             starts = np.cumsum(g.lengths) - g.lengths
             ids = unpacked(row["ids"], np.int64).reshape(-1, 2)
             out["doc_id"] += [int(x) if known else None for known, x in ids]
