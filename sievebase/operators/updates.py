@@ -133,8 +133,8 @@ def store_records(file: FileDef, rows: DataFrame, order: list[str], strict: bool
         return F.array(stored(F.col(f"`{c}`"), kind.elementType, strict)) if isinstance(kind, T.ArrayType) else stored(F.col(f"`{c}`"), kind, strict)
 
     last = file.frame.agg(F.coalesce(F.max(RECNUM), F.lit(-1)).alias("_last"))
-    placed = numbered(rows, tuple(F.col(f"`{c}`").asc_nulls_first() for c in order), "_place").crossJoin(F.broadcast(last))  # one row
-    new = placed.select((F.col("_last") + F.col("_place")).alias(RECNUM), *(converted(c).alias(c) for c in rows.columns))
+    placed = numbered(rows, tuple(F.col(f"`{c}`").asc_nulls_first() for c in order), "_place")
+    new = placed.select((last.scalar() + F.col("_place")).alias(RECNUM), *(converted(c).alias(c) for c in rows.columns))
     return file.with_frame(file.frame.unionByName(new, allowMissingColumns=True))
 
 
@@ -152,12 +152,9 @@ def store_record(file: FileDef, pairs: list[tuple[str, Any]], strict: bool = Fal
             columns.append(F.array(*(stored(F.lit(v), kind.elementType, strict) for v in own)).alias(name))
         else:
             columns.append(stored(F.lit(own[-1]), kind, strict).alias(name))
-    return store_records(file, spark.range(1).select(*columns, F.lit(0).alias("_only")).drop("_only"), [], strict) if not columns else _append_one(file, spark.range(1).select(*columns))
-
-
-def _append_one(file: FileDef, row: DataFrame) -> FileDef:
+    row = spark.range(1).select(*columns)
     last = file.frame.agg(F.coalesce(F.max(RECNUM), F.lit(-1)).alias("_last"))
-    new = row.crossJoin(F.broadcast(last)).select((F.col("_last") + 1).alias(RECNUM), *row.columns)  # one row each
+    new = row.select((last.scalar() + 1).alias(RECNUM), *row.columns)
     return file.with_frame(file.frame.unionByName(new, allowMissingColumns=True))
 
 
