@@ -7,7 +7,7 @@ factor.  Class counts, sums and outer products are summed over *all* learning ro
 a few hundred numbers reach the driver, so no sample is taken.
 
 Defined results: a null or blank text is scored as the empty text; null ids or labels teach nothing;
-without learning rows of both classes every score is 0.5; repeated rows each give one row; extra
+without learning rows of both classes every score is 0.5 and nothing is filtered; repeated rows each give one row; extra
 columns are ignored by :func:`score` and kept by :func:`keep_good`.
 """
 
@@ -135,11 +135,14 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns (without a model: all)."""
     model = train(described(docs), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not model.classes:
+                yield batch
+                continue
             yield batch.filter(pa.array(model.score(features(batch.column("text"))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
