@@ -549,9 +549,9 @@ def unload_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(files.unload_data(c.members[0], c.find("O_ORDERSTATUS = P"), include=["O_TOTALPRICE", "O_TOTALPRICE"]), "O_TOTALPRICE")
 
 
-@register("index_unload", "SELECT p_brand AS value, array_to_string(list(p_partkey ORDER BY p_partkey), ',') AS records, count(*) AS n FROM part GROUP BY p_brand")
+@register("index_unload", "SELECT p_brand AS value, p_partkey // 65280 AS segment, array_to_string(list(p_partkey ORDER BY p_partkey), ',') AS records, count(*) AS n FROM part GROUP BY ALL")
 def index_unload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.unload_index(file(spark, sf_dir, "part"), "P_BRAND").select("value", F.array_join(F.col("records").cast("array<string>"), ",").alias("records"), "n")
+    return files.unload_index(file(spark, sf_dir, "part"), "P_BRAND").select("value", "segment", F.array_join(F.col("records").cast("array<string>"), ",").alias("records"), "n")
 
 
 @register("unload_definitions", "SELECT * FROM (VALUES ('DEFINE FIELD 0 ''R_NAME'' (STRING, ORD CHAR)'), ('DEFINE FIELD 1 ''R_REGIONKEY'' (FLOAT, ORD NUM)')) AS t(line)")

@@ -14,6 +14,8 @@ from ..operators.sets import RecordSet
 from ..plans.catalog import RECNUM, Field, FileDef
 
 PAI_END = "$$$"
+#: Record numbers of one segment of an index list.
+SEGMENT = 65_280
 
 
 # --- sequential files ----------------------------------------------------------------------------
@@ -88,7 +90,11 @@ def unload_pai(file: FileDef, within: RecordSet | None = None, include: list[str
 
 
 def unload_index(file: FileDef, name: str, within: RecordSet | None = None) -> DataFrame:
-    """(value, records, n): each value of an indexed field with its record numbers in order."""
+    """(value, segment, records, n): each value of an indexed field with its record numbers in order.
+
+    A list covers one segment of record numbers, so that a value most records have is many short
+    lists and not one that grows with the file.
+    """
     if file.field(name).storage == "INVISIBLE":
         rows = file.entries.where(F.col("field") == name).select("value", RECNUM)
     else:
@@ -97,7 +103,12 @@ def unload_index(file: FileDef, name: str, within: RecordSet | None = None) -> D
         rows = file.frame.select(RECNUM, (F.explode(F.array_distinct(c)) if multi else c).alias("value")).where("value IS NOT NULL")
     if within is not None:
         rows = rows.join(within.frame.select(RECNUM), RECNUM, "left_semi")
-    return rows.groupBy("value").agg(F.sort_array(F.collect_list(RECNUM)).alias("records"), F.count("*").alias("n"))
+    return _lists(rows)
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    segment = F.floor(F.col(RECNUM) / SEGMENT).alias("segment")
+    return rows.groupBy("value", segment).agg(F.sort_array(F.collect_list(RECNUM)).alias("records"), F.count("*").alias("n"))
 
 
 def unload(file: FileDef, path: str, within: RecordSet | None = None, mode: str = "errorifexists") -> None:
@@ -152,7 +163,7 @@ def fast_load(file: FileDef, rows: DataFrame, order: list[str]) -> tuple[FileDef
 def load_index(entries: DataFrame, reference: DataFrame) -> DataFrame:
     """Index entries (value, records) under the new record numbers."""
     spread = entries.select("value", F.explode("records").alias("_old_recnum"))
-    return spread.join(reference, "_old_recnum").groupBy("value").agg(F.sort_array(F.collect_list(RECNUM)).alias("records"))
+    return _lists(spread.join(reference, "_old_recnum").select("value", RECNUM))
 
 
 def parse_pai(texts: DataFrame, file: FileDef, ebcdic: bool = False) -> DataFrame:
