@@ -73,6 +73,15 @@ def criterion_counts(context, criteria) -> DataFrame:
     return sums.select(F.explode(F.array(*(F.struct(F.lit(str(x)).alias("criterion"), F.col(f"n{i}").alias("n")) for i, x in enumerate(leaves)))).alias("e")).select("e.*")
 
 
+def index_analysis(records, name: str) -> DataFrame:
+    """One row about a field's index: distinct values, entries, and the shortest, mean and longest list."""
+    lists = records.histogram(name)
+    return lists.agg(
+        F.count("*").alias("n_values"), F.sum("n").alias("n_entries"), F.min("n").alias("shortest"), (F.sum("n") / F.count("*")).alias("mean"), F.max("n").alias("longest"),
+        F.sum((F.col("n") == 1).cast("long")).alias("n_singles"),
+    )
+
+
 @dataclass
 class Versions:
     """Snapshots of a file below one folder: each checkpoint is a new directory, a rollback reads an older one."""

@@ -584,6 +584,11 @@ def criterion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.criterion_counts(context(spark, sf_dir, "orders"), "O_ORDERSTATUS = F AND NOT O_TOTALPRICE GT 200000")
 
 
+@register("index_analysis", "SELECT count(*) AS n_values, CAST(sum(n) AS BIGINT) AS n_entries, min(n) AS shortest, sum(n) / count(*) AS mean, max(n) AS longest, CAST(count(*) FILTER (n = 1) AS BIGINT) AS n_singles FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
+def index_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admin.index_analysis(context(spark, sf_dir, "orders").find(), "O_CUSTKEY")
+
+
 # --- functions -----------------------------------------------------------------------------------
 
 
