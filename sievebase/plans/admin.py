@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalog import FileDef
 
 #: Known parameters and their values at the start.
-DEFAULTS = {"MBSCAN": -1, "FMODLDPT": 0, "LOADTHRD": 1, "MAXRECNO": 16_777_215}
+DEFAULTS = {"MBSCAN": -1, "STRICTNUM": 0, "LOADTHRD": 1, "MAXRECNO": 16_777_215}
 
 
 @dataclass
