@@ -140,7 +140,8 @@ def group(docs: DataFrame) -> DataFrame:
     distinct = checkpointed(named)
     labels = components(links(distinct.select("fp"))).withColumnRenamed("v", "fp")
     placed = distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    smallest = placed.groupBy("label").agg(F.min("least").alias("component_id"))
+    # a checkpoint between aggregate and join: only a join that reads plain exchanges can split a hot label
+    smallest = checkpointed(placed.groupBy("label").agg(F.min("least").alias("component_id")))
     classes = placed.join(smallest, "label").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
