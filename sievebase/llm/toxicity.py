@@ -39,7 +39,7 @@ STEPS = 400
 RATE = 0.05
 STEMS = range(3, 8)
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 500_000
+_CACHE = 100_000
 
 
 def stems(word: str) -> list[str]:
