@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -41,10 +42,13 @@ def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that nothing refers to any more.
 
     Spark's cleaner acts when the driver's garbage is collected, which on a large heap can be long after
-    a checkpoint has made the files useless.  Only a hint: results don't depend on it.
+    a checkpoint has made the files useless.  Python's handles are let go in the background, hence the
+    second turn.  Only a hint: results don't depend on it.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

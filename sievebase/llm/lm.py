@@ -245,6 +245,7 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     deleted = together(encoded.where(F.col("role") == EM), counted.where(F.col("role") == EM))
     cells = deleted.applyInArrow(held_out_counts, "b int, q2 int, q1 int, n long, f2 double, f1 double")
     weights = learned_weights(cells.groupBy("b", "q2", "q1").agg(*(F.sum(c).alias(c) for c in ("n", "f2", "f1"))).collect(), v)
+    release_shuffles(docs.sparkSession)
 
     def scores(chunk: pa.Table, found: pa.Table) -> pa.Table:
         out = {"doc_id": [], "role": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []}
