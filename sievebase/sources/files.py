@@ -53,8 +53,9 @@ def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists", lrecl:
 def _text(file: FileDef, name: str) -> tuple[Column, bool]:
     kind = file.frame.schema[name].dataType
     multi = isinstance(kind, T.ArrayType)
-    numeric = isinstance(kind.elementType if multi else kind, T.NumericType)
-    show = num_to_str if numeric else (lambda c: c.cast("string"))
+    element = kind.elementType if multi else kind
+    # whole numbers are shown as they are; only fractions need the display form
+    show = num_to_str if isinstance(element, T.NumericType) and not isinstance(element, T.IntegralType) else (lambda c: c.cast("string"))
     c = F.col(f"`{name}`")
     return (F.transform(c, show) if multi else show(c)), multi
 
