@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule rejects a document whose statistic lies above a cutoff.  Cutoffs come from labelled
-documents: for every stratum (a range of lengths) and rule, the fixed ladder of cutoffs is walked from
-lenient to strict, and a step is taken while the exact binomial test still shows that the share of
-good documents it would reject is below the rule's part of ``RISK``.  Walking in a fixed order needs no
-correction within a ladder; over strata and rules the error ``DELTA`` is divided (Bonferroni), and the
-risk itself is divided over the rules, so with probability 1 - DELTA no stratum loses more than
-``RISK`` of its good documents.  A rule that cannot be certified (too few labels) rejects nothing.
+Each rule measures a statistic.  In every stratum (a range of lengths) the statistics are put on one scale,
+each divided by its median among the stratum's documents without a good label, and a document is
+rejected when its largest scaled statistic lies above the stratum's cutoff.  Cutoffs come from good
+documents: the fixed ladder of cutoffs is walked from lenient to strict, and a step is taken while the
+exact binomial test still shows that the share of good documents it would reject is below ``RISK``.  The
+scales don't look at those documents, and walking in a fixed order needs no correction, so only over
+the strata is the error ``DELTA`` divided (Bonferroni): with probability 1 - DELTA over the draw of labels
+no stratum loses more than ``RISK`` of its good documents that pass the base rule.  A stratum with fewer
+than :func:`least_labels` good documents can't be certified and rejects nothing.
 
 Defined results: a null or blank text has no words and fails the base rule; labels with a null id or
 null value teach nothing, repeated labels of a document count once; repeated document rows each give
@@ -31,9 +33,11 @@ DELTA = 0.05
 MIN_WORDS = 50
 #: Lower ends of the strata, in words.
 STRATA = (0, 150, 400, 1000)
-#: Steps of each ladder: cutoffs fall from 1 to 2 ** -10 of the statistic's unit.
-STEPS = 80
-LADDER = [2.0 ** (-10 * k / STEPS) for k in range(STEPS + 1)]
+#: The ladder: cutoffs fall from 1 to 2 ** -12 by eighths of an octave.
+STEPS = 96
+LADDER = [2.0 ** (-k / 8) for k in range(STEPS + 1)]
+#: Least scale of a statistic, so that none exceeds 1 / LEAST_SCALE when divided by its scale.
+LEAST_SCALE = 2.0**-9
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs", "n_same_next")
 _SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
 
@@ -104,35 +108,63 @@ def certified_cutoffs(histogram: dict[tuple[int, str, int], int], names: list[st
     return out
 
 
-def fit_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[int, str], float]:
-    """Cutoffs from all good documents (quality 1) that pass the base rule.
+def least_labels(risk: float = RISK, delta: float = DELTA) -> int:
+    """Good documents a stratum needs: with fewer, not even a cutoff that none of them exceeds is certified."""
+    return math.ceil(math.log(delta / len(STRATA)) / math.log1p(-risk))
 
-    Only a histogram of strata x rules x steps comes to the driver, whatever the number of labels.
+
+def steps_above(x: Column) -> Column:
+    """Number of ladder steps whose cutoff ``x`` (at most 1) lies above."""
+    return F.when(x <= LADDER[-1], 0).otherwise(F.least(F.lit(STEPS), F.lit(STEPS) + F.ceil(F.log2(x) * 8))).cast("int")
+
+
+def scaled(scales: dict[tuple[int, str], float]) -> Column:
+    """The largest scaled statistic, times LEAST_SCALE (at most 1)."""
+    s, out = stratum(), F.lit(0.0)
+    for k in range(len(STRATA)):
+        out = F.when(s == k, F.greatest(*(x * (LEAST_SCALE / scales.get((k, r), 1.0)) for r, x in rules().items()))).otherwise(out)
+    return out
+
+
+def median_scales(histogram: dict[tuple[int, str, int], int]) -> dict[tuple[int, str], float]:
+    """(stratum, rule) -> upper end of the ladder step that holds the median, at least LEAST_SCALE."""
+    out = {}
+    for s, name in {k[:2] for k in histogram}:
+        counts = np.cumsum([histogram.get((s, name, b), 0) for b in range(STEPS + 1)])
+        out[s, name] = max(LEAST_SCALE, LADDER[STEPS - int(np.searchsorted(counts, counts[-1] / 2))])
+    return out
+
+
+def fit_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[dict[tuple[int, str], float], dict[int, float]]:
+    """(stratum, rule) -> scale, from all documents without a good label, and stratum -> cutoff, from all
+    good documents (quality 1); of both, those that pass the base rule.
+
+    Only histograms of strata x rules x steps come to the driver, whatever the number of documents.
     """
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    statistics = rules()
-    rows = counts.where(~base_failed()).join(good, "doc_id", "left_semi").select(stratum().alias("s"), *(c.alias(r) for r, c in statistics.items()))
-    # a statistic x lies above cutoff k iff x > LADDER[k]
-    step = F.when(F.col("x") <= LADDER[-1], 0).otherwise(F.least(F.lit(STEPS + 1), F.floor(F.log2("x") * (STEPS / 10.0)) + STEPS + 1))
-    long = rows.select("s", F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.col(r).alias("x")) for r in statistics))).alias("e")).select("s", "e.r", F.col("e.x").alias("x"))
-    found = long.groupBy("s", "r", step.cast("int").alias("b")).count().collect()
-    return certified_cutoffs({(x["s"], x["r"], x["b"]): x["count"] for x in found}, list(statistics), risk, delta)
-
-
-def rejected(cutoffs: dict[tuple[int, str], float]) -> Column:
-    """True where a rule's statistic lies above its stratum's cutoff."""
-    s, out = stratum(), F.lit(False)
-    for (k, name), cutoff in cutoffs.items():
-        out = out | ((s == k) & (rules()[name] > cutoff))
+    passed, statistics = counts.where(~base_failed()), rules()
+    rows = passed.join(good, "doc_id", "left_anti").select(stratum().alias("s"), F.explode(F.array(*(F.struct(F.lit(r).alias("r"), c.alias("x")) for r, c in statistics.items()))).alias("e"))
+    found = rows.groupBy("s", F.col("e.r").alias("r"), steps_above(F.col("e.x")).alias("b")).count().collect()
+    scales = median_scales({(x["s"], x["r"], x["b"]): x["count"] for x in found})
+    found = passed.join(good, "doc_id", "left_semi").groupBy(stratum().alias("s"), steps_above(scaled(scales)).alias("b")).count().collect()
+    cutoffs = certified_cutoffs({(x["s"], "any", x["b"]): x["count"] for x in found}, ["any"], risk, delta)
+    return scales, {s: cutoff for (s, _), cutoff in cutoffs.items()}
+
+
+def rejected(scales: dict[tuple[int, str], float], cutoffs: dict[int, float]) -> Column:
+    """True where the largest scaled statistic lies above its stratum's cutoff (as counted on the labels)."""
+    s, above, out = stratum(), steps_above(scaled(scales)), F.lit(False)
+    for k, cutoff in cutoffs.items():
+        out = out | ((s == k) & (above >= STEPS + 1 - LADDER.index(cutoff)))
     return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Counts, base_failed and kept for every document row."""
     counts = checkpointed(document_counts(docs))
-    cutoffs = fit_cutoffs(counts, labels, risk, delta)
+    scales, cutoffs = fit_cutoffs(counts, labels, risk, delta)
     failed = base_failed()
     return counts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~rejected(cutoffs)).alias("kept"),
+        failed.alias("base_failed"), (~failed & ~rejected(scales, cutoffs)).alias("kept"),
     )

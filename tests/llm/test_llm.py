@@ -196,6 +196,19 @@ def test_rules_reject_what_good_documents_never_show(spark):
     assert not got[got.index >= 10_000].any() and got[got.index < 10_000].mean() > 0.9
 
 
+def test_rules_act_on_a_few_hundred_labels(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    assert rules.least_labels() == 217
+    plain = [(i, " ".join(word() for _ in range(80))) for i in range(500)]
+    bad = [(10_000 + i, " ".join(word() + "***" for _ in range(80))) for i in range(50)]
+    docs = spark.createDataFrame(plain + bad, "doc_id long, text string")
+    for n, acts in ((300, True), (216, False)):
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+        got = rows_of(rules.judge(docs, labels)).set_index("doc_id").kept
+        assert (not got[got.index >= 10_000].any()) == acts and got[got.index < 10_000].mean() > 0.95
+
+
 def held_out(got, sf_dir, column):
     known = pd.read_parquet(f"{sf_dir}/labels.parquet")
     m = got.merge(known, on="doc_id")
