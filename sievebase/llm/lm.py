@@ -11,8 +11,8 @@ numbers and 64-bit word hashes), written to the checkpoint folder.  A chunk send
 n-grams once, packed by range of hash; a range's task adds up all chunks' counts and sends each
 chunk the totals of what it asked for, in its own order.  So a very frequent word or passage is one
 entry per chunk, and no table of n-grams is ever broadcast or collected.  To the driver come only the
-size of the vocabulary and the held-out counts by bucket and quantised estimates (at most some ten
-thousand cells).
+size of the vocabulary and the held-out counts by bucket and quantised estimates (at most some
+hundred thousand cells).
 
 With ``CHUNK_TOKENS`` fixed, the number of packets grows with the square of the corpus; on corpora beyond
 some terabytes it should be raised with the executors' memory (a chunk takes about 100 bytes a token).
@@ -40,7 +40,8 @@ from .textstats import as_binary
 MODULUS, HELD, DELETED = 7, 2, 5
 CHUNK_TOKENS = 2_000_000
 GRAMS_PER_TASK = 1_500_000
-BUCKETS = 12
+#: Buckets of contexts: unseen ones and every power of two an int64 count can reach.
+BUCKETS = 64
 EM_ROUNDS = 60
 FLOOR = 1e-4
 #: Roles of chunks: counted, deleted for EM, held out.
@@ -208,13 +209,18 @@ def estimates(context: np.ndarray, word: np.ndarray, pair: np.ndarray, n: int, v
 
 
 def learned_weights(cells: list, v: int) -> np.ndarray:
-    """(BUCKETS, 3) by EM; ``cells`` holds (bucket, tokens, sum of bigram and of unigram estimates)."""
+    """(BUCKETS, 3) by EM; ``cells`` holds (bucket, tokens, sum of bigram and of unigram estimates).
+
+    A bucket without held-out tokens takes the weights of the next lower one that has some.
+    """
     out = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
     out[0] = [0.0, 0.8, 0.2]
     for b in range(BUCKETS):
         own = np.array([[c["n"], c["f2"] / c["n"], c["f1"] / c["n"], 1.0 / (v + 1)] for c in cells if c["b"] == b], float).reshape(-1, 4)
         n, f = own[:, 0], own[:, 1:]
         if not len(n):
+            if b > 1:
+                out[b] = out[b - 1]
             continue
         weights = out[b] if b else np.array([0.1, 0.7, 0.2])
         for _ in range(EM_ROUNDS):

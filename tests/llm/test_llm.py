@@ -354,6 +354,14 @@ def test_em_recovers_the_mixture():
     assert weights.sum() == pytest.approx(1) and weights == pytest.approx([0.7, 0.3, 0.0], abs=0.01)
 
 
+def test_every_power_of_two_has_its_bucket():
+    powers = 2 ** np.arange(45)
+    assert lm.bucket(np.append(0, powers)).tolist() == list(range(46)) and lm.bucket(2 * powers - 1).tolist() == lm.bucket(powers).tolist()
+    cells = [{"b": b, "n": 1000, "f2": 1000 * f, "f1": 1.0} for b, f in ((11, 0.0001), (21, 0.9))]
+    weights = lm.learned_weights(cells, 10**9)
+    assert weights[11, 0] < 0.5 < weights[21, 0] and (weights[15] == weights[11]).all() and (weights[30] == weights[21]).all()
+
+
 def test_kneser_ney_sums_to_one():
     counts = Counter()
     for w in ("abab", "abc", "bca", "cab") * 3:
