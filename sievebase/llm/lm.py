@@ -151,7 +151,7 @@ class Grams:
         ends = self.slices(ranges)
         for a in answers:
             for part in which:
-                total[ends[a["range"]] : ends[a["range"] + 1]] += unpacked(a[part], np.uint32)
+                total[ends[a["range"]] : ends[a["range"] + 1]] += unpacked(a[part], np.int64)
         word, pair = total[self.place[: self.n_words]], total[self.place[self.n_words :]]
         return word[self.before], word[self.tokens], pair[self.pair_of]
 
@@ -189,7 +189,7 @@ def answers(asked: DataFrame) -> DataFrame:
                 total[r["role"]][at] += unpacked(r["counts"], np.uint32)
         begin = np.uint64(_MARKS[BEGIN]) & ~np.uint64(1)
         known = (total[FIT] + total[EM] > 0) & (distinct & np.uint64(1) == 0) & (distinct != begin)
-        fit, em = (total[k].astype(np.uint32) for k in (FIT, EM))
+        fit, em = total[FIT], total[EM]  # 64 bits: a corpus total can exceed what a chunk's count can
         out = {"chunk": [r["chunk"] for r in rows], "role": [r["role"] for r in rows], "range": [r["range"] for r in rows], "fit": [packed(fit[at]) for at in own], "em": [packed(em[at]) for at in own]}
         last = {"chunk": [int(known.sum())], "role": [-1], "range": [rows[0]["range"]], "fit": [b""], "em": [b""]}
         schema = pa.schema([("chunk", pa.int64()), ("role", pa.int32()), ("range", pa.int32()), ("fit", pa.binary()), ("em", pa.binary())])

@@ -362,6 +362,13 @@ def test_every_power_of_two_has_its_bucket():
     assert weights[11, 0] < 0.5 < weights[21, 0] and (weights[15] == weights[11]).all() and (weights[30] == weights[21]).all()
 
 
+def test_totals_beyond_32_bits_stay_whole(spark):
+    gram = np.array([2 << 40], np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    rows = [(0, k, lm.FIT, gram, lm.packed(np.array([3_000_000_000], np.uint32))) for k in range(3)]
+    got = lm.answers(spark.createDataFrame(rows, "range int, chunk long, role int, grams binary, counts binary")).where("role >= 0").collect()
+    assert [lm.unpacked(r["fit"], np.int64).tolist() for r in got] == [[9_000_000_000]] * 3
+
+
 def test_kneser_ney_sums_to_one():
     counts = Counter()
     for w in ("abab", "abc", "bca", "cab") * 3:
