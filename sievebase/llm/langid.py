@@ -7,8 +7,10 @@ language with the lowest cross-entropy per character wins; the operator also fla
 when that cross-entropy is above what ``CALIBRATION`` of the winner's own calibration texts stay under.
 
 The models are fitted on about ``DOCS_PER_LANG`` documents per language, drawn by the hash of their id
-(a documented bound; nine tenths train, one tenth calibrates).  n-grams are counted on the executors
-and only distinct ones reach the driver.  Every text is scored whole.
+(a documented bound; nine tenths train, one tenth calibrates).  Where a language has fewer than
+``FEW_ROWS`` drawn rows, those that calibrate train too, after the cutoffs were taken from models without
+them.  n-grams are counted on the executors and only distinct ones reach the driver.  Every text is
+scored whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without learning rows
 every text is ``und``; null ids or languages teach nothing; repeated rows each give one row; extra
@@ -31,6 +33,7 @@ from .common import checkpointed, fold, texts
 MODULUS, HELD = 5, 0
 UNDETERMINED = "und"
 DOCS_PER_LANG = 400
+FEW_ROWS = 20
 #: Up to so many languages their sampling rates are broadcast, so that no text is shuffled; beyond, the
 #: same join runs as a shuffle join.
 MAX_BROADCAST_LANGS = 10_000
@@ -168,14 +171,19 @@ def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """(lang, text, calibrate) of about ``per_lang`` learning rows of each language."""
+    """(lang, text, calibrate, few) of about ``per_lang`` learning rows of each language; ``few`` marks the
+    languages with fewer than FEW_ROWS of them."""
     rows = docs.where((fold(F.col("doc_id"), MODULUS) != HELD) & F.col("lang").isNotNull())
     sizes = checkpointed(rows.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))).select("lang", "share"))
     if sizes.count() <= MAX_BROADCAST_LANGS:
         sizes = F.broadcast(sizes)
     ticket = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_000))
     drawn = rows.select("lang", "text", ticket.alias("ticket")).join(sizes, "lang").where(F.col("ticket") < F.col("share") * 1_000_000)
-    return checkpointed(drawn.select("lang", "text", (F.col("ticket") % 10 == 0).alias("calibrate")))
+    drawn = checkpointed(drawn.select("lang", "text", (F.col("ticket") % 10 == 0).alias("calibrate")))
+    few = checkpointed(drawn.groupBy("lang").count().select("lang", (F.col("count") < FEW_ROWS).alias("few")))
+    if few.count() <= MAX_BROADCAST_LANGS:
+        few = F.broadcast(few)
+    return drawn.join(few, "lang")
 
 
 def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> Model:
@@ -192,13 +200,23 @@ def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> Model:
         for lang, grams in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
-    counted = rows.where("NOT calibrate").select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: defaultdict[str, dict[str, int]] = defaultdict(dict)
-    for r in counted.collect():
-        counts[r["lang"]][r["gram"]] = r["n"]
+    def counts_of(part: DataFrame) -> defaultdict[str, dict[str, int]]:
+        counted = part.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        counts: defaultdict[str, dict[str, int]] = defaultdict(dict)
+        for r in counted.collect():
+            counts[r["lang"]][r["gram"]] = r["n"]
+        return counts
+
+    counts = counts_of(rows.where("NOT calibrate"))
     model = Model(counts)
+    extra = counts_of(rows.where("calibrate AND few"))
+    whole = model
+    if extra:
+        for lang, grams in extra.items():
+            counts[lang] = dict(Counter(counts[lang]) + Counter(grams))
+        whole = Model(counts)
     if not model.langs:
-        return model
+        return whole
 
     def own_entropy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {x: j for j, x in enumerate(model.langs)}
@@ -210,8 +228,8 @@ def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> Model:
 
     cut = rows.where("calibrate").select("lang", "text").mapInArrow(own_entropy, "j int, e double").groupBy("j").agg(F.percentile("e", F.lit(CALIBRATION)).alias("e")).collect()
     for r in cut:
-        model.cutoffs[r["j"]] = r["e"]
-    return model
+        whole.cutoffs[whole.langs.index(model.langs[r["j"]])] = r["e"]
+    return whole
 
 
 def identify(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> DataFrame:

@@ -400,6 +400,14 @@ def test_languages_on_held_out_documents(spark):
     assert (held.lang_pred == held.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_a_single_document_makes_a_language(spark):
+    ids = spark.range(5000).where("pmod(xxhash64(id), 1000000) % 10 = 0 AND crc32(cast(cast(id AS string) AS binary)) % 5 <> 0")
+    lone = ids.first()[0]
+    docs = spark.createDataFrame([(lone, "zyx wvu zyx tsr wvu", "zz"), *((10_000 + i, "the cat sat on the mat", "en") for i in range(100))], "doc_id long, text string, lang string")
+    got = rows_of(langid.identify(docs)).set_index("doc_id").lang_pred
+    assert got[lone] == "zz" and (got.drop(lone) == "en").all()
+
+
 def test_texts_without_letters_are_undetermined(odd):
     got = rows_of(langid.identify(odd)).set_index("doc_id")
     assert (got.lang_pred.loc[[2, 3, 4, 9]] == "und").all() and (got.score.loc[[2, 3, 4, 9]] == 0).all() and (got.lang_pred.loc[[5, 6]] != "und").all()
