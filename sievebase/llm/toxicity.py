@@ -40,6 +40,7 @@ RATE = 0.05
 STEMS = range(3, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 100_000
+_STEMS_AT_ONCE = 200_000
 
 
 def stems(word: str) -> list[str]:
@@ -69,30 +70,42 @@ def rates(counts: Counter[str], columns: dict[str, int], lookup: dict[str, tuple
     return np.minimum(3.0, np.log1p(300.0 * x / (total + 100.0)))
 
 
-def stem_counts(rows: DataFrame, only: set[str] | None) -> DataFrame:
-    """(stem, n): in how many texts a stem (of ``only``, if given) occurs; the stem '' counts texts.
+def stem_counts(rows: DataFrame) -> DataFrame:
+    """(stem, n): in how many texts a stem occurs.
 
-    Counts are summed within a task's batches before they are shuffled.
+    Counts are summed over texts before they are shuffled, up to ``_STEMS_AT_ONCE`` stems at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+
+        def taken() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["stem", "n"])
+
         for batch in batches:
-            found: Counter[str] = Counter({"": batch.num_rows})
             for text in texts(batch.column("text")):
-                found.update({s for w in set(_WORD.findall(text.lower())) for s in stems(w) if only is None or s in only})
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["stem", "n"])
+                found.update({s for w in set(_WORD.findall(text.lower())) for s in stems(w)})
+                if len(found) >= _STEMS_AT_ONCE:
+                    yield taken()
+                    found.clear()
+        yield taken()
 
     return rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 def select_features(rows: DataFrame, n_features: int = N_FEATURES) -> list[str]:
-    """Stems whose share of documents differs most between positives (``p``) and the other rows."""
-    frequent = stem_counts(rows.where("p"), None).where((F.col("n") >= MIN_DOCUMENTS) | (F.col("stem") == ""))
-    p = {r["stem"]: r["n"] for r in frequent.orderBy(F.desc("n"), "stem").limit(100 * n_features).collect()}
-    u = {r["stem"]: r["n"] for r in stem_counts(rows.where("NOT p"), set(p)).collect()}
-    n_p, n_u = p.pop("", 0), max(1, u.pop("", 0))
-    gain = lambda s: (p[s] / n_p - u.get(s, 0) / n_u) / math.sqrt(p[s] + u.get(s, 0) + 1)
-    return sorted(p, key=lambda s: (-gain(s), s))[:n_features]
+    """Stems whose share of documents differs most between positives (``p``) and the other rows.
+
+    All stems of MIN_DOCUMENTS positives are compared; only the chosen ones come to the driver.
+    """
+    sizes = {r["p"]: r["count"] for r in rows.groupBy("p").count().collect()}
+    n_p, n_u = max(1, sizes.get(True, 0)), max(1, sizes.get(False, 0))
+    positive = stem_counts(rows.where("p")).where(F.col("n") >= MIN_DOCUMENTS).withColumnRenamed("n", "np")
+    other = stem_counts(rows.where("NOT p")).withColumnRenamed("n", "nu")
+    nu = F.coalesce("nu", F.lit(0))
+    gain = (F.col("np") / n_p - nu / n_u) / F.sqrt(F.col("np") + nu + 1)
+    best = positive.join(other, "stem", "left").select("stem", gain.alias("gain")).orderBy(F.desc("gain"), "stem").limit(n_features)
+    return [r["stem"] for r in best.collect()]
 
 
 class Model:

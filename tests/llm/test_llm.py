@@ -246,6 +246,12 @@ def test_toxicity_on_held_out_labels(spark):
     assert m.predicted[toxic].mean() > 0.5 and m.predicted[~toxic].mean() < 0.03
 
 
+def test_rare_stems_are_compared_too(spark):
+    common_words = " ".join(f"{x}{y}" for x in "abcdefghijkl" for y in "abcdefghijkl")
+    rows = [(True, common_words + (" zz" if i < 5 else "")) for i in range(20)] + [(False, common_words) for _ in range(20)]
+    assert toxicity.select_features(spark.createDataFrame(rows, "p boolean, text string"), 1) == ["zz"]
+
+
 def test_non_negative_risk_finds_the_boundary():
     rng = np.random.default_rng(4)
     positive, unlabelled = rng.normal(2, 1, (300, 1)), np.concatenate([rng.normal(2, 1, (600, 1)), rng.normal(-2, 1, (1400, 1))])
