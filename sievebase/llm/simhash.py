@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER_BYTES, checkpointed
+from .common import LOWER_BYTES, checkpointed, fresh
 from .components import components
 from .textstats import as_binary
 
@@ -71,6 +72,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the fingerprint of each row in column ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(x.as_py()) for x in as_binary(batch.column("text"))], np.uint64).view(np.int64)
+            yield batch.append_column(name, pa.array(found, pa.int64()))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all variants and the fingerprint behind each.
 
@@ -133,28 +145,37 @@ def links(distinct: DataFrame) -> DataFrame:
     return emitted.mapInArrow(meet, "a long, b long").distinct()
 
 
+def placed(fps: DataFrame) -> DataFrame:
+    """(fp, least, label) of every distinct fingerprint: its smallest doc_id and its component's label."""
+    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = components(links(distinct.select("fp"))).withColumnRenamed("v", "fp")
+    return distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+
+
 def group(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of ``docs``."""
     fps = checkpointed(fingerprints(docs))
-    named = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = checkpointed(named)
-    labels = components(links(distinct.select("fp"))).withColumnRenamed("v", "fp")
-    placed = distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    vertices = placed(fps)
     # a checkpoint between aggregate and join: only a join that reads plain exchanges can split a hot label
-    smallest = checkpointed(placed.groupBy("label").agg(F.min("least").alias("component_id")))
-    classes = placed.join(smallest, "label").select("fp", "component_id")
+    smallest = checkpointed(vertices.groupBy("label").agg(F.min("least").alias("component_id")))
+    classes = vertices.join(smallest, "label").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group: the one with the smallest doc_id.
+    """One row of each near-duplicate group: one with the smallest doc_id (without an id only where no row
+    of the group has one) and, among those, the smallest fingerprint.
 
-    Rows without an id can't be named and stay.  Rows repeated under the kept id are reduced to one.
+    A fingerprint belongs to one group only, so it tells apart rows that share an id or have none; the
+    rows' fingerprints are computed a second time instead of storing the texts.
     """
-    grouped = group(docs)
-    kept = grouped.where("doc_id = component_id").groupBy("doc_id").count()
-    kept = checkpointed(kept)
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    fps = checkpointed(fingerprints(docs))
+    first = placed(fps).groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first"))
+    kept = checkpointed(first.select(F.col("first.least").alias("least"), F.col("first.fp").alias("fp")))
+    repeated = fps.join(kept, fps["doc_id"].eqNullSafe(kept["least"]) & (fps["fp"] == kept["fp"]), "left_semi").groupBy("doc_id", "fp").count().where("count > 1")
+    fp, own_id, own_fp = (fresh(name, docs.columns) for name in ("fp", "kept_id", "kept_fp"))
+    rows = with_fingerprint(docs, fp)
+    out = rows.join(kept.toDF(own_id, own_fp), F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(fp) == F.col(own_fp)), "left_semi")
+    if not repeated.isEmpty():
+        out = out.dropDuplicates(["doc_id", fp])
+    return out.select(*docs.columns)

@@ -316,6 +316,15 @@ def test_every_link_meets_in_a_variant():
             assert find(int(x)) == find(int(y))
 
 
+def test_one_row_of_each_group_with_shared_and_missing_ids(spark):
+    rng = np.random.default_rng(4)
+    a, b, c, d = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)) for _ in range(4))
+    # id 5 stands for two unrelated texts, id 7 for two of which one copies a smaller id; ids are missing
+    rows = [(5, a), (5, b), (7, c), (3, d), (7, d), (None, c), (None, "q r s t u v w"), (None, "q r s t u v w"), (8, "q r s t u v x y z"), (9, a)]
+    got = rows_of(simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert sorted((-1 if np.isnan(i) else int(i), t) for i, t in zip(got.doc_id, got.text)) == sorted([(5, a), (5, b), (7, c), (3, d), (-1, "q r s t u v w"), (8, "q r s t u v x y z")])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 200)] + [(300, 300)]
     got = {r["v"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
