@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: For ``bytes.translate``: lower-cases A-Z and turns the six blanks into spaces.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -25,10 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is set (tests on one machine), a temporary one."""
+    """The session's checkpoint folder.  Only where none is set and all tasks run in this process (as in
+    tests) a temporary one is made; on a cluster that is an error, as executors couldn't read it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -38,17 +45,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of frames that nothing refers to any more.
+def drop_checkpoint(df: DataFrame) -> None:
+    """Deletes the files of a frame that :func:`checkpointed` returned and that nothing reads any more."""
+    held = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if held.isDefined():
+        delete(df.sparkSession, held.get())
 
-    Spark's cleaner acts when the driver's garbage is collected, which on a large heap can be long after
-    a checkpoint has made the files useless.  Python's handles are let go in the background, hence the
-    second turn.  Only a hint: results don't depend on it.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(1.2)
-        spark.sparkContext._jvm.System.gc()
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder in whatever store ``path`` names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -56,6 +63,18 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return f"{_shared(spark)}/{uuid.uuid4().hex}"
 
 
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of about BATCH_BYTES.
+
+    Spark's own bound counts rows only, so one batch of long texts could fill a worker's memory.  The
+    session's setting is raised from nothing once and left as it is where the user has set it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -26,7 +26,7 @@ from itertools import product
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import mapped, texts
 
 # HTML element kinds.
 BLOCKS = set(
@@ -262,4 +262,4 @@ def extract(pages: DataFrame, training: list[str] | None = None) -> DataFrame:
             found = [model.main_text(h) for h in texts(batch.column("html"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return mapped(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")

@@ -6,8 +6,8 @@ crosses a word).  Probabilities and back-off weights of all languages stand in a
 language with the lowest cross-entropy per character wins; the operator also flags a text as rejected
 when that cross-entropy is above what ``CALIBRATION`` of the winner's own calibration texts stay under.
 
-The models are fitted on about ``DOCS_PER_LANG`` documents per language, drawn by the hash of their id
-(a documented bound; nine tenths train, one tenth calibrates).  Where a language has fewer than
+The models are fitted on about ``DOCS_PER_LANG`` rows per language, drawn by the hash of id and text, rows
+equal in both counting once (a documented bound; nine tenths train, one tenth calibrates).  Where a language has fewer than
 ``FEW_ROWS`` drawn rows, those that calibrate train too, after the cutoffs were taken from models without
 them.  n-grams are counted on the executors and only distinct ones reach the driver.  Every text is
 scored whole.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold, texts
+from .common import checkpointed, fold, mapped, texts
 
 MODULUS, HELD = 5, 0
 UNDETERMINED = "und"
@@ -170,6 +170,14 @@ def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == keys
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each language and key that a task meets, so that copies of a drawn row aren't shuffled."""
+    seen: set = set()
+    for batch in batches:
+        kinds = list(zip(batch.column("lang").to_pylist(), batch.column("key").to_pylist(), strict=True))
+        yield batch.filter(pa.array([k not in seen and not seen.add(k) for k in kinds], pa.bool_()))
+
+
 def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> DataFrame:
     """(lang, text, calibrate, few) of about ``per_lang`` learning rows of each language; ``few`` marks the
     languages with fewer than FEW_ROWS of them."""
@@ -177,9 +185,10 @@ def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> DataFrame:
     sizes = checkpointed(rows.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))).select("lang", "share"))
     if sizes.count() <= MAX_BROADCAST_LANGS:
         sizes = F.broadcast(sizes)
-    ticket = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_000))
-    drawn = rows.select("lang", "text", ticket.alias("ticket")).join(sizes, "lang").where(F.col("ticket") < F.col("share") * 1_000_000)
-    drawn = checkpointed(drawn.select("lang", "text", (F.col("ticket") % 10 == 0).alias("calibrate")))
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    drawn = rows.select("lang", "text", key.alias("key")).join(sizes, "lang").where(F.pmod("key", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    drawn = mapped(drawn.select("lang", "key", "text"), _first_of_each, "lang string, key long, text string").dropDuplicates(["lang", "key"])
+    drawn = checkpointed(drawn.select("lang", "text", (F.pmod("key", F.lit(10)) == 0).alias("calibrate")))
     few = checkpointed(drawn.groupBy("lang").count().select("lang", (F.col("count") < FEW_ROWS).alias("few")))
     if few.count() <= MAX_BROADCAST_LANGS:
         few = F.broadcast(few)
@@ -201,7 +210,7 @@ def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
     def counts_of(part: DataFrame) -> defaultdict[str, dict[str, int]]:
-        counted = part.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        counted = mapped(part.select("lang", "text"), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         counts: defaultdict[str, dict[str, int]] = defaultdict(dict)
         for r in counted.collect():
             counts[r["lang"]][r["gram"]] = r["n"]
@@ -226,7 +235,7 @@ def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> Model:
             ok = (sizes >= 20) & (js >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(js[ok], pa.int32()), pa.array(entropy[ok, js[ok]])], ["j", "e"])
 
-    cut = rows.where("calibrate").select("lang", "text").mapInArrow(own_entropy, "j int, e double").groupBy("j").agg(F.percentile("e", F.lit(CALIBRATION)).alias("e")).collect()
+    cut = mapped(rows.where("calibrate").select("lang", "text"), own_entropy, "j int, e double").groupBy("j").agg(F.percentile("e", F.lit(CALIBRATION)).alias("e")).collect()
     for r in cut:
         whole.cutoffs[whole.langs.index(model.langs[r["j"]])] = r["e"]
     return whole
@@ -241,6 +250,6 @@ def identify(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> DataFrame:
             lang, score, rejected = model.predict(texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = mapped(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, rejected boolean")
     held = F.coalesce(fold(F.col("doc_id"), MODULUS) == HELD, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, checkpointed, release_shuffles
+from .common import LOWER_BYTES, checkpointed, mapped
 from .textstats import as_binary
 
 MODULUS, HELD, DELETED = 7, 2, 5
@@ -112,7 +112,7 @@ def encode(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             yield pa.RecordBatch.from_pylist([chunk.row((task << 24) + made)], schema)
             made += 1
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ENCODED)
+    return mapped(docs.select("doc_id", "text"), run, _ENCODED)
 
 
 class Grams:
@@ -171,7 +171,7 @@ def requests(encoded: DataFrame, ranges: int) -> DataFrame:
                     counts = packed(g.counts[ends[r] : ends[r + 1]].astype(np.uint32))
                     yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([row["role"]], pa.int32()), pa.array([planes], pa.binary()), pa.array([counts], pa.binary())], ["range", "chunk", "role", "grams", "counts"])
 
-    return encoded.mapInArrow(run, "range int, chunk long, role int, grams binary, counts binary")
+    return mapped(encoded, run, "range int, chunk long, role int, grams binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -239,7 +239,6 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     n_fit, n = sizes.get(FIT, 0), sizes.get(FIT, 0) + sizes.get(EM, 0)
     ranges = max(1, -(-2 * sum(sizes.values()) // GRAMS_PER_TASK))
     counted = checkpointed(answers(requests(encoded, ranges)))
-    release_shuffles(docs.sparkSession)  # the requests' files, the largest of all, have served
     v = counted.where("role = -1").agg(F.sum("chunk")).first()[0] or 0
     counted = counted.where("role >= 0")
 
@@ -251,7 +250,6 @@ def score(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     deleted = together(encoded.where(F.col("role") == EM), counted.where(F.col("role") == EM))
     cells = deleted.applyInArrow(held_out_counts, "b int, q2 int, q1 int, n long, f2 double, f1 double")
     weights = learned_weights(cells.groupBy("b", "q2", "q1").agg(*(F.sum(c).alias(c) for c in ("n", "f2", "f1"))).collect(), v)
-    release_shuffles(docs.sparkSession)
 
     def scores(chunk: pa.Table, found: pa.Table) -> pa.Table:
         out = {"doc_id": [], "role": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []}

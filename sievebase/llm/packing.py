@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 ROWS_PER_GROUP = 50_000
 FIXED_PRICE = 64
@@ -87,8 +89,9 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, length: Column | N
     """One row per piece: doc_id, piece, start and n_tokens within the document; bin, the bin's
     capacity, and the piece's position and offset in it."""
     lengths = tuple(sorted(lengths))
-    groups = max(1, -(-docs.count() // rows_per_group))
-    sized = docs.select("doc_id", (words_and_end(F.col("text")) if length is None else length).cast("long").alias("n"), F.monotonically_increasing_id().alias("row"))
+    # checkpointed: a row's number must not change when a lost executor's work is done again
+    sized = checkpointed(docs.select("doc_id", (words_and_end(F.col("text")) if length is None else length).cast("long").alias("n"), F.monotonically_increasing_id().alias("row")))
+    groups = max(1, -(-sized.count() // rows_per_group))
     dealt = sized.select("doc_id", "n", "row", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"))
 
     def run(table: pa.Table) -> pa.Table:

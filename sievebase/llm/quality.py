@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold, learning_rows, sigmoid
+from .common import checkpointed, fold, learning_rows, mapped, sigmoid
 from .textstats import batch_stats
 
 MODULUS, HELD = 4, 2
@@ -87,7 +87,7 @@ def fit(rows: DataFrame) -> Discriminant:
         for c, m in sums.items():
             yield pa.RecordBatch.from_pydict({"c": pa.array([c] * m.size, pa.int32()), "k": pa.array(range(m.size), pa.int32()), "v": pa.array(m.ravel())})
 
-    found = rows.mapInArrow(moments, "c int, k int, v double").groupBy("c", "k").agg(F.sum("v").alias("v")).collect()
+    found = mapped(rows, moments, "c int, k int, v double").groupBy("c", "k").agg(F.sum("v").alias("v")).collect()
     size = N_FEATURES + 1
     out = {}
     for c in (0, 1):
@@ -108,7 +108,7 @@ def described(docs: DataFrame) -> DataFrame:
             x = [row.tobytes() for row in features(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(x, pa.binary())], ["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, x binary")
 
 
 def unpacked(column: pa.Array) -> np.ndarray:
@@ -129,7 +129,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(unpacked(batch.column("x"))))], ["doc_id", "score"])
 
-    scored = points.mapInArrow(run, "doc_id long, score double")
+    scored = mapped(points, run, "doc_id long, score double")
     held = F.coalesce(fold(F.col("doc_id"), MODULUS) == HELD, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -145,4 +145,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
                 continue
             yield batch.filter(pa.array(model.score(features(batch.column("text"))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

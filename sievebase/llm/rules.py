@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, mapped
 from .textstats import batch_stats
 
 RISK = 0.02
@@ -50,7 +50,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
             stats = batch_stats(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(stats[c], pa.int64()) for c in COUNTS)], ["doc_id", *COUNTS])
 
-    return docs.select("doc_id", "text").mapInArrow(count, _SCHEMA)
+    return mapped(docs.select("doc_id", "text"), count, _SCHEMA)
 
 
 def rules() -> dict[str, Column]:

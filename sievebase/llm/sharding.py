@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, mapped
 
 BUCKETS = 2048
 #: A quantile may miss its target by this share of a leaf's bytes.
@@ -121,7 +121,7 @@ def split(points: DataFrame, keys: Keys, root: Node, tolerance: float) -> None:
                 for d in range(n_dims):
                     yield pa.RecordBatch.from_pydict({"node": [int(n)], "d": [d], "lo": [int(own[d].min())], "hi": [int(own[d].max())], "w": [int(w[node == n].sum())]})
 
-    found = points.mapInArrow(extent, "node long, d long, lo long, hi long, w long").groupBy("node", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("w").alias("w")).collect()
+    found = mapped(points, extent, "node long, d long, lo long, hi long, w long").groupBy("node", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("w").alias("w")).collect()
     want: dict[int, list[float]] = {}
     for first, tip in tips.items():
         own = [r for r in found if r["node"] == first]
@@ -152,7 +152,7 @@ def refine(points: DataFrame, keys: Keys, root: Node, tips: dict[int, Node], wan
                 b = np.flatnonzero(sums)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), f)), pa.array(b), pa.array(sums[b].astype(np.int64))], ["node", "b", "w"])
 
-    sums = points.mapInArrow(histogram, "node long, b long, w long").groupBy("node", "b").agg(F.sum("w").alias("w")).collect()
+    sums = mapped(points, histogram, "node long, b long, w long").groupBy("node", "b").agg(F.sum("w").alias("w")).collect()
     for first, tip in tips.items():
         own = sorted((r["b"], r["w"]) for r in sums if r["node"] == first)
         lo, width = tip.range[0], plan[first][3]
@@ -193,7 +193,7 @@ def shard(docs: DataFrame, dims: list[str], leaves: int | None = None, target_by
             run = (mixed(batch.column("row").to_numpy().astype(np.uint64), len(dims)) % np.uint64(runs)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "weight", "text_crc32", "row")), pa.array(leaf), pa.array(run)], ["doc_id", "weight", "text_crc32", "row", "shard", "run"])
 
-    placed = points.mapInArrow(place, "doc_id long, weight long, text_crc32 long, row long, shard long, run long")
+    placed = mapped(points, place, "doc_id long, weight long, text_crc32 long, row long, shard long, run long")
     # slots: number the rows of each (shard, run), a run being of bounded length, and add what lies before
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "run").agg(F.count("*").alias("n")).select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER_BYTES, checkpointed, fresh
+from .common import LOWER_BYTES, checkpointed, fresh, mapped
 from .components import components
 from .textstats import as_binary
 
@@ -39,8 +39,8 @@ SHINGLE = 3
 SEED = 42
 BLOCK = 16
 VARIANTS = 100
-#: Variants that one task holds at once (about 16 bytes each, twice while sorting).
-VARIANTS_PER_TASK = 3_000_000
+#: Variants that one task holds at once (about 16 bytes each, three times while sorting).
+VARIANTS_PER_TASK = 1_500_000
 _CHUNK = 100_000
 
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.array([fingerprint(x.as_py()) for x in as_binary(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
 def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
@@ -80,7 +80,7 @@ def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
             found = np.array([fingerprint(x.as_py()) for x in as_binary(batch.column("text"))], np.uint64).view(np.int64)
             yield batch.append_column(name, pa.array(found, pa.int64()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return mapped(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,17 +132,20 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own.view(np.int64))], ["key", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("key").to_numpy().view(np.uint64), b.column("fp").to_numpy().view(np.uint64)) for b in batches]
-        if not parts:
+        keys, fps = [], []
+        for batch in batches:
+            keys.append(batch.column("key").to_numpy().view(np.uint64))
+            fps.append(batch.column("fp").to_numpy().view(np.uint64))
+        if not keys:
             return
-        a, b = bucket_links(np.concatenate([k for k, _ in parts]), np.concatenate([f for _, f in parts]))
+        a, b = bucket_links(np.concatenate(keys), np.concatenate(fps))
         pairs = np.unique(np.stack([a, b], 1), axis=0).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     spark = distinct.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * VARIANTS // VARIANTS_PER_TASK))
-    emitted = distinct.mapInArrow(emit, "key long, fp long").repartition(tasks, "key")
-    return emitted.mapInArrow(meet, "a long, b long").distinct()
+    emitted = mapped(distinct, emit, "key long, fp long").repartition(tasks, "key")
+    return mapped(emitted, meet, "a long, b long").distinct()
 
 
 def placed(fps: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ logistic model over the rates of words and word stems minimises the class-prior-
 against it (the non-negative correction).  The prior is the toxic share of the labelled learning rows.
 
 Features and model are fitted on at most ``MAX_POSITIVE`` positive and ``MAX_UNLABELLED`` unlabelled
-documents, chosen by the hash of their id; these bounds are the only sample, the prior and the scores
-cover all rows.
+rows, chosen by the hash of id and text (rows equal in both count once).  The unlabelled rows are drawn
+from all learning rows, positives among them, as the risk's ``E_u`` is over the whole population.
+These bounds are the only sample; the prior and the scores cover all rows.
 
 Defined results: a null text is scored as the empty text; null ids or labels teach nothing; without a
 positive learning row every score is the prior (0 without labels); repeated rows each give one row;
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold, sigmoid, texts
+from .common import checkpointed, fold, mapped, sigmoid, texts
 
 MODULUS, HELD = 5, 0
 THRESHOLD = 0.5
@@ -90,7 +91,7 @@ def stem_counts(rows: DataFrame) -> DataFrame:
                     found.clear()
         yield taken()
 
-    return rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+    return mapped(rows.select("text"), run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 def select_features(rows: DataFrame, n_features: int = N_FEATURES) -> list[str]:
@@ -141,20 +142,33 @@ def non_negative_pu(xp: np.ndarray, xu: np.ndarray, prior: float, l2: float = L2
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, float]:
     """(p, text) of the drawn positives and unlabelled rows (None without positives); the class prior.
 
-    Ids are drawn by their hash at a rate that keeps each list near, and a limit keeps it under, its
-    bound; only those ids (a bounded table, broadcast) meet the documents, so no text is shuffled.
+    Toxic ids are drawn by their hash at a rate that keeps the list near its bound, rows by the hash of
+    id and text; of both kinds the lowest hashes up to the bound stay.  Only those keys (a bounded
+    table, broadcast) meet the documents, and one row of each key goes on.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), MODULUS) != HELD))
     toxic, labelled = usable.agg(F.sum((F.col("toxic") == 1).cast("long")), F.count("*")).first()
     if not toxic:
         return None, 0.0
     ticket = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_000))
-    learning = docs.where(fold(F.col("doc_id"), MODULUS) != HELD).select("doc_id", "text")
-    positive = usable.where((F.col("toxic") == 1) & (ticket < int(1e6 * min(1.0, 0.9 * MAX_POSITIVE / toxic)))).select("doc_id").distinct().limit(MAX_POSITIVE)
-    drawn = learning.where(ticket < int(1e6 * min(1.0, 0.9 * MAX_UNLABELLED / max(1, docs.count())))).select("doc_id").distinct()
-    unlabelled = drawn.join(usable.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").limit(MAX_UNLABELLED)
-    chosen = checkpointed(positive.withColumn("p", F.lit(True)).unionByName(unlabelled.withColumn("p", F.lit(False))))
-    return checkpointed(learning.join(F.broadcast(chosen), "doc_id").select("p", "text")), toxic / labelled
+    ids = usable.where((F.col("toxic") == 1) & (ticket < int(1e6 * min(1.0, 0.9 * MAX_POSITIVE / toxic)))).select("doc_id").distinct()
+    ids = checkpointed(ids.orderBy(F.xxhash64("doc_id")).limit(MAX_POSITIVE))
+    learning = docs.where(fold(F.col("doc_id"), MODULUS) != HELD).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("__key"))
+    rate = int(1e6 * min(1.0, 0.9 * MAX_UNLABELLED / max(1, docs.count())))
+    pools = ((True, learning.join(F.broadcast(ids), "doc_id", "left_semi"), MAX_POSITIVE), (False, learning.where(F.pmod("__key", F.lit(1_000_000)) < rate), MAX_UNLABELLED))
+    drawn = [rows.select("__key").distinct().orderBy(F.xxhash64("__key")).limit(most).withColumn("p", F.lit(p)) for p, rows, most in pools]
+    chosen = checkpointed(drawn[0].unionByName(drawn[1]))
+    rows = mapped(learning.join(F.broadcast(chosen), "__key").select("__key", "p", "text"), _first_of_each, "__key long, p boolean, text string")
+    return checkpointed(rows.dropDuplicates(["__key", "p"]).select("p", "text")), toxic / labelled
+
+
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each key and kind that a task meets, so that copies of a drawn row aren't shuffled."""
+    seen: set = set()
+    for batch in batches:
+        kinds = list(zip(batch.column("__key").to_pylist(), batch.column("p").to_pylist(), strict=True))
+        first = [k not in seen and not seen.add(k) for k in kinds]
+        yield batch.filter(pa.array(first, pa.bool_()))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -170,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             x = [rates(word_counts(t), index, lookup).astype(np.float32).tobytes() for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array(x, pa.binary())], ["p", "x"])
 
-    got = rows.mapInArrow(vectors, "p boolean, x binary").toArrow()  # bounded by the sample's two limits
+    got = mapped(rows, vectors, "p boolean, x binary").toArrow()  # bounded by the sample's two limits
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, len(columns))
     p = got.column("p").to_numpy(zero_copy_only=False).astype(bool)
     if p.all():
@@ -187,7 +201,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(model.score(batch.column("text"), lookup))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = mapped(docs.select("doc_id", "text"), run, "doc_id long, score double")
     held = F.coalesce(fold(F.col("doc_id"), MODULUS) == HELD, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -201,4 +215,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch in batches:
             yield batch.filter(pa.array(model.score(batch.column("text"), lookup) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -246,6 +246,16 @@ def test_toxicity_on_held_out_labels(spark):
     assert m.predicted[toxic].mean() > 0.5 and m.predicted[~toxic].mean() < 0.03
 
 
+def test_a_repeated_id_does_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 20)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 30)
+    docs = spark.createDataFrame([(1, "hot copy")] * 400 + [(1, f"other {i}") for i in range(100)] + [(i, f"text {i}") for i in range(2, 60)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i < 4)) for i in range(1, 12)], "doc_id long, quality int, toxic int")
+    rows, prior = toxicity.sample(docs, labels)
+    got = rows.toPandas()
+    assert (got.p.sum(), (~got.p).sum()) <= (20, 30) and got.p.sum() > 3 and not got.duplicated().any() and 0 < prior < 1
+
+
 def test_rare_stems_are_compared_too(spark):
     common_words = " ".join(f"{x}{y}" for x in "abcdefghijkl" for y in "abcdefghijkl")
     rows = [(True, common_words + (" zz" if i < 5 else "")) for i in range(20)] + [(False, common_words) for _ in range(20)]
@@ -416,7 +426,7 @@ def test_languages_on_held_out_documents(spark):
 
 
 def test_a_single_document_makes_a_language(spark):
-    ids = spark.range(5000).where("pmod(xxhash64(id), 1000000) % 10 = 0 AND crc32(cast(cast(id AS string) AS binary)) % 5 <> 0")
+    ids = spark.range(5000).where("pmod(xxhash64(id, 'zyx wvu zyx tsr wvu'), 10) = 0 AND crc32(cast(cast(id AS string) AS binary)) % 5 <> 0")
     lone = ids.first()[0]
     docs = spark.createDataFrame([(lone, "zyx wvu zyx tsr wvu", "zz"), *((10_000 + i, "the cat sat on the mat", "en") for i in range(100))], "doc_id long, text string, lang string")
     got = rows_of(langid.identify(docs)).set_index("doc_id").lang_pred
