@@ -18,6 +18,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Bytes of an Arrow batch; a longer row is a batch of its own.
 BATCH_BYTES = 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: For ``bytes.translate``: lower-cases A-Z and turns the six blanks into spaces.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -40,9 +41,21 @@ def _shared(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, its lineage cut."""
-    _shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared checkpoint folder and read back, its lineage cut.
+
+    The shuffle files of that run go as soon as it is written.
+    """
+    spark = df.sparkSession
+    _shared(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.where(F.lit(True)).checkpoint(eager=True)  # a new frame: the setting holds for frames made after it
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def drop_checkpoint(df: DataFrame) -> None:
