@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .automaton import accepted
 from .values import nocase
 
 NOCASE = "NOCASE:"
@@ -174,6 +175,47 @@ def to_regex(node: Choice | tuple | Literal | Wild | Range) -> str:
     return body if (node.least, node.most) == (1, 1) else f"{body}{{{node.least},{node.most}}}"
 
 
+def flexible(node: Choice | tuple | Literal | Wild | Range) -> bool:
+    """Whether strings of different lengths match."""
+    if isinstance(node, Literal | Range):
+        return False
+    if isinstance(node, Wild):
+        return node.kind == "*"
+    if isinstance(node, tuple):
+        return any(map(flexible, node))
+    return node.least != node.most or any(map(flexible, node.members)) or len({length(m) for m in node.members}) > 1
+
+
+def length(node: Choice | tuple | Literal | Wild | Range) -> int:
+    """The length of the strings that match a node that isn't flexible (0 of one that is)."""
+    if isinstance(node, Literal):
+        return len(node.text)
+    if isinstance(node, Wild | Range):
+        return 1
+    if isinstance(node, tuple):
+        return sum(map(length, node))
+    return node.most * length(node.members[0])
+
+
+def ambiguous(tree: Choice) -> bool:
+    """Whether some text could be divided among the parts in so many ways that backtracking is slow: a flexible
+    member under a repeat, or three flexible parts in a row of which none is the last."""
+
+    def repeated(node) -> bool:
+        if isinstance(node, tuple):
+            return any(map(repeated, node))
+        if isinstance(node, Choice):
+            return node.most > 1 and flexible(Choice(node.members)) or any(map(repeated, node.members))
+        return False
+
+    def parts(node) -> int:
+        if isinstance(node, tuple):
+            return sum(map(parts, node))
+        return max(map(parts, node.members), default=0) + (node.least != node.most) if isinstance(node, Choice) else int(flexible(node))
+
+    return repeated(tree) or any(parts(m[:-1] if m and m[-1] == Wild("*") else m) > 2 for m in tree.members)
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A parsed pattern and how to apply it to a column."""
@@ -207,7 +249,8 @@ class Pattern:
         """True where the whole value matches.
 
         Literal, prefix, suffix and substring patterns become comparisons the scan can push down; a
-        literal prefix before anything else is given as well, to prune with.
+        literal prefix before anything else is given as well, to prune with.  Anything that a backtracking
+        matcher could take more than quadratic time with is matched by an automaton.
         """
         c = nocase(c) if self.fold else c
         only, run = self.single(), Wild("*")
@@ -226,7 +269,7 @@ class Pattern:
                 return c.contains(texts[0])
             if shape == ("*",):
                 return c.isNotNull()
-        whole = c.rlike(self.regex)
+        whole = accepted(c, self.tree) if ambiguous(self.tree) else c.rlike(self.regex)
         return c.startswith(self.prefix()) & whole if self.prefix() and not self.fold else whole
 
 
@@ -249,4 +292,4 @@ def like(c: Column, pattern: str) -> Column:
     return Pattern.of(pattern).matches(c)
 
 
-__all__ = ["F", "Pattern", "PatternError", "from_other_dialect", "like", "parse", "to_regex"]
+__all__ = ["Pattern", "PatternError", "from_other_dialect", "like", "parse", "to_regex"]
