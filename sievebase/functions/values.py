@@ -6,6 +6,7 @@ the optimiser.  Python UDFs are never used.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -16,7 +17,7 @@ SIGNIFICANT_DIGITS = 15
 TOO_LARGE = 1e76
 TOO_SMALL = 1e-75
 
-_NUMBER = r"^ *[+-]? *([0-9]+\.?[0-9]*|\.[0-9]+)([Ee][+-]?[0-9]+)? *$"
+_NUMBER = r"\A *[+-]? *([0-9]+\.?[0-9]*|\.[0-9]+)([Ee][+-]?[0-9]+)? *\z"
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,14 +73,34 @@ def to_num(s: Column) -> Column:
     return F.when(F.trim(s) == "", F.lit(0.0)).when(s.rlike(_NUMBER) & (significant <= SIGNIFICANT_DIGITS) & in_range, value)
 
 
+def number_of(text: str) -> float | None:
+    """:func:`to_num` of a constant, for the operands of comparisons."""
+    if not text.strip(" "):
+        return 0.0
+    if not re.fullmatch(_NUMBER.removeprefix(r"\A").removesuffix(r"\z"), text):
+        return None
+    mantissa = re.sub("[^0-9]", "", re.split("[Ee]", text)[0])
+    value = float(text.replace(" ", ""))
+    fits = len(mantissa.lstrip("0").rstrip("0")) <= SIGNIFICANT_DIGITS and (value == 0 or TOO_SMALL <= abs(value) < TOO_LARGE)
+    return value if fits else None
+
+
 def num_or_zero(s: Column) -> Column:
     """As :func:`to_num`, invalid strings counting as 0 (null stays null)."""
     return F.when(s.isNull(), None).otherwise(F.coalesce(to_num(s), F.lit(0.0)))
 
 
 def num_to_str(x: Column) -> Column:
-    """Display form of a number: plain decimal where 15 digits do, else an exponent."""
-    return bound(r15(x), _shown)
+    """Display form of a number: plain decimal where 15 digits do, else an exponent.
+
+    Numbers whose shortest decimal form is plain and has at most 15 digits, and whole ones, are shown by
+    a cast; only the rest take the long way over rounding and formatting.
+    """
+    x = x.cast("double")
+    shortest, size = x.cast("string"), F.abs(x)
+    short = (size >= 1e-3) & (size < 1e7) & (F.length(shortest) <= F.when(x < 0, SIGNIFICANT_DIGITS + 2).otherwise(SIGNIFICANT_DIGITS + 1))
+    whole = (size < 1e15) & (x == F.floor(x))
+    return F.when(x.isNull(), None).when(whole, F.floor(x).cast("string")).when(short, shortest).otherwise(bound(r15(x), _shown))
 
 
 def _shown(x: Column) -> Column:
@@ -178,6 +199,84 @@ def thousands(x: Column) -> Column:
     return F.format_number(x, 0)
 
 
+def thousands_text(c: Column) -> Column:
+    """A comma before every third character from the right, whatever the characters."""
+    return F.regexp_replace(c, r"(?s)(?<=.)(?=(?:.{3})+\z)", ",")
+
+
+def reverse(c: Column) -> Column:
+    return F.reverse(c)
+
+
+def replace_char(c: Column, old: str, new: str) -> Column:
+    """Every ``old`` character replaced by ``new``."""
+    return F.translate(c, old, new)
+
+
+def replace_string(c: Column, old: str, new: str) -> Column:
+    """Every occurrence of ``old``, from the left, replaced by ``new``; an empty ``old`` changes nothing."""
+    return F.replace(c, F.lit(old), F.lit(new)) if old else c
+
+
+def string_to_hex(c: Column) -> Column:
+    """Two hex digits for each byte of the UTF-8 text."""
+    return F.hex(c.cast("binary"))
+
+
+def hex_to_string(c: Column) -> Column:
+    """The text whose UTF-8 bytes the digits name, null where they don't name any."""
+    return F.try_to_binary(c, F.lit("hex")).cast("string")
+
+
+# --- words -----------------------------------------------------------------------------------------
+
+
+def words(c: Column, separators: str = " ") -> Column:
+    """Runs of characters other than the separators."""
+    flat = F.translate(c, separators, separators[0] * len(separators))
+    return F.filter(F.split(flat, f"\\Q{separators[0]}\\E"), lambda w: w != "")
+
+
+def word(c: Column, n: int, separators: str = " ") -> Column:
+    """The n-th word (from 1), empty if there are fewer."""
+    return F.when(c.isNotNull(), F.coalesce(F.get(words(c, separators), F.lit(n - 1)), F.lit("")) if n >= 1 else F.lit(""))
+
+
+def word_count(c: Column, separators: str = " ") -> Column:
+    return F.size(words(c, separators))
+
+
+def word_position(c: Column, n: int, separators: str = " ") -> Column:
+    """Where the n-th word begins (from 1), 0 if there are fewer."""
+    runs = "".join(f"\\x{{{ord(s):x}}}" for s in separators)
+    before = F.regexp_extract(c, rf"\A((?:[{runs}]*[^{runs}]+){{{n - 1}}}[{runs}]+|[{runs}]*)(?=[^{runs}])" if n > 1 else rf"\A([{runs}]*)(?=[^{runs}])", 1)
+    return F.when(word_count(c, separators) >= n, F.length(before) + 1).otherwise(F.when(c.isNotNull(), F.lit(0))) if n >= 1 else F.when(c.isNotNull(), F.lit(0))
+
+
+def one_of(c: Column, choices: str, separator: str = "/") -> Column:
+    """Whether the value is one of the listed ones."""
+    return c.isin(choices.split(separator))
+
+
+def is_digits(c: Column) -> Column:
+    return c.rlike(r"\A[0-9]*\z")
+
+
+def is_integer(c: Column) -> Column:
+    """Digits and signs only, in any order (as loosely as the helper it stands for)."""
+    return c.rlike(r"\A[0-9+-]*\z")
+
+
+def is_alpha(c: Column) -> Column:
+    return c.rlike(r"\A[A-Za-z]*\z")
+
+
+def bracketed(c: Column, opening: str = "(", closing: str = ")") -> Column:
+    """What stands between the first opening and the next closing bracket, empty if there is none."""
+    inner = F.regexp_extract(c, rf"(?s)\Q{opening}\E(.*?)\Q{closing}\E", 1)
+    return inner
+
+
 def next_string(prefix: str) -> str | None:
     """The smallest string above all strings that begin with ``prefix`` (None if there is none)."""
     stem = prefix.rstrip("\U0010ffff")

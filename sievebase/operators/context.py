@@ -9,12 +9,14 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.admin import Parameters, Statistics
 from ..plans.catalog import FILE, FILE_IX, RECNUM, CatalogError, Field, FileDef
 from .parser import parse_find
 from .predicate import ALL, Binder, Criteria, Leaf, PredicateError, set_conjuncts, where
 from .sets import ID, FoundSet, RecordSet, SetError, ValueCursor, ValueSet
 
 LOCKS = ("NONE", "SHR", "EXCL")
+DISPOSITIONS = ("NEW", "OLD", "COND", "MOD", "READONLY", "TEMP")
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,10 @@ class Context:
     key: str = ""
     #: Records that criteria without a pushed filter may scan: -1 any, 0 none.
     mbscan: int = -1
+    #: Refuse bad numbers instead of storing 0.
+    strict: bool = False
+    read_only: bool = False
+    statistics: Statistics | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "key", f"{self.name}:{','.join(m.name for m in self.members)}")
@@ -36,6 +42,10 @@ class Context:
                     if a.fields[n].flags() != b.fields[n].flags():
                         raise CatalogError(f"field {n} differs between {a.name} and {b.name}")
 
+    def counted(self, counter: str, n: int = 1) -> None:
+        if self.statistics is not None:
+            self.statistics.add(counter, n)
+
     @property
     def fields(self) -> dict[str, Field]:
         return {n: f for m in self.members for n, f in m.fields.items()}
@@ -68,6 +78,7 @@ class Context:
         """Records that meet the criteria: a tree, a text, or ``field, op, value``; none: all records."""
         if lock not in LOCKS:
             raise PredicateError(f"no lock {lock}")
+        self.counted("FINDS")
         if operands:
             criteria = where(criteria, *operands)
         elif isinstance(criteria, str):
@@ -167,6 +178,29 @@ class Context:
         own = entries.where((F.col("field") == name) & (F.col("value") == str(value))).select(RECNUM)
         return FoundSet(self, self.frame.join(own, RECNUM, "left_semi").select(*self.frame.columns))
 
+    # --- updating --------------------------------------------------------------------------------
+
+    def update_member(self) -> FileDef:
+        """The file that takes new records: the only one, or a group's update file."""
+        if self.read_only:
+            raise CatalogError(f"{self.name} is open for reading only")
+        if len(self.members) > 1 and self.update_file is None:
+            raise CatalogError(f"group {self.name} has no update file")
+        return self.members[self.file_ix(self.update_file if len(self.members) > 1 else None)]
+
+    def store_record(self, pairs: list[tuple[str, Any]]) -> "Context":
+        """Appends one record to the file that takes updates."""
+        from .updates import store_record
+
+        changed = store_record(self.update_member(), pairs, self.strict)
+        self.counted("RECADD")
+        return self.with_file(changed)
+
+    def store_records(self, rows: DataFrame, order: list[str]) -> "Context":
+        from .updates import store_records
+
+        return self.with_file(store_records(self.update_member(), rows, order, self.strict))
+
     def with_file(self, file: FileDef) -> "Context":
         return replace(self, members=tuple(file if m.name == file.name else m for m in self.members))
 
@@ -179,19 +213,27 @@ class Engine:
     files: dict[str, FileDef] = field(default_factory=dict)
     groups: dict[tuple[str, str], tuple[tuple[str, ...], str | None]] = field(default_factory=dict)
     opened: dict[str, Context] = field(default_factory=dict)
+    parameters: Parameters = field(default_factory=Parameters)
+    statistics: Statistics = field(default_factory=Statistics)
+    dispositions: dict[str, str] = field(default_factory=dict)
 
     def allocate(self, file: FileDef, disposition: str = "NEW") -> None:
-        """NEW must not exist, OLD must, COND may and is then left alone, MOD replaces it."""
+        """NEW and TEMP must not exist, OLD and READONLY must, COND may and is then left alone, MOD replaces it.
+        A READONLY file takes no updates, a TEMP one goes when it is closed."""
+        if disposition not in DISPOSITIONS:
+            raise CatalogError(f"no disposition {disposition}")
         there = file.name in self.files
-        if disposition == "NEW" and there or disposition == "OLD" and not there:
+        if disposition in ("NEW", "TEMP") and there or disposition in ("OLD", "READONLY") and not there:
             raise CatalogError(f"{file.name} {'exists' if there else 'does not exist'}")
-        if not (disposition in ("COND", "OLD") and there):
+        if not (disposition in ("COND", "OLD", "READONLY") and there):
             self.files[file.name] = file
+        self.dispositions[file.name] = disposition
 
     def free(self, name: str) -> None:
         if any(m.name == name for c in self.opened.values() for m in c.members):
             raise CatalogError(f"{name} is open")
         del self.files[name]
+        self.dispositions.pop(name, None)
 
     def create(self, name: str, fields: list[Field]) -> FileDef:
         """An empty file."""
@@ -221,6 +263,21 @@ class Engine:
         rows = [(n, k, u, list(m)) for (k, n), (m, u) in sorted(self.groups.items())]
         return self.spark.createDataFrame(rows, "name string, kind string, update_file string, members array<string>")
 
+    def display_group(self, name: str) -> DataFrame:
+        """One row per member of the group that ``name`` stands for (temporary before permanent): its type,
+        place, whether it takes updates, and its fields."""
+        kind = next((k for k in ("TEMP", "PERM") if (k, name) in self.groups), None)
+        if kind is None:
+            raise CatalogError(f"no group {name}")
+        members, update_file = self.groups[kind, name]
+        rows = [(name, kind, i, m, m == update_file, len(self.files[m].fields)) for i, m in enumerate(members)]
+        return self.spark.createDataFrame(rows, "name string, kind string, place int, member string, takes_updates boolean, n_fields int")
+
+    def _context(self, name: str, members: tuple[str, ...], update_file: str | None) -> Context:
+        settings = {"mbscan": self.parameters.view("MBSCAN"), "strict": bool(self.parameters.view("STRICTNUM")), "statistics": self.statistics}
+        read_only = "READONLY" in (self.dispositions.get(m) for m in ([update_file] if update_file else members))
+        return Context(name, tuple(self.files[m] for m in members), update_file, read_only=read_only, **settings)
+
     def open(self, spec: str) -> Context:
         """``FILE x``, ``GROUP x``, ``TEMP GROUP x``, ``PERM GROUP x`` or a bare name."""
         words = spec.split()
@@ -230,10 +287,10 @@ class Engine:
             raise CatalogError(f"bad context {spec!r}")
         for kind in kinds:
             if kind == "FILE" and name in self.files:
-                return self.opened.setdefault(name, Context(name, (self.files[name],), name))
+                return self.opened.setdefault(name, self._context(name, (name,), name))
             if (kind, name) in self.groups:
                 members, update_file = self.groups[kind, name]
-                return self.opened.setdefault(name, Context(name, tuple(self.files[m] for m in members), update_file))
+                return self.opened.setdefault(name, self._context(name, members, update_file))
         raise CatalogError(f"no {spec}")
 
     def find_open(self, name: str) -> Context | None:
@@ -245,3 +302,5 @@ class Engine:
     def close(self, name: str | None = None) -> None:
         for n in [name] if name else list(self.opened):
             self.opened.pop(n, None)
+            if self.dispositions.get(n) == "TEMP":
+                self.free(n)

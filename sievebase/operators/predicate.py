@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.pattern import Pattern
-from ..functions.values import num_or_zero, num_to_str
+from ..functions.values import num_or_zero, num_to_str, number_of
 from ..plans.catalog import FILE, RECNUM, Field, FileDef
 
 if TYPE_CHECKING:
@@ -152,13 +152,8 @@ def is_numeric(x: Any) -> bool:
 
 
 def as_number(x: Any) -> float | int:
-    """Operand of a numeric comparison; an invalid string counts as 0."""
-    if is_numeric(x):
-        return x
-    try:
-        return float(str(x).strip() or 0)
-    except ValueError:
-        return 0
+    """Operand of a numeric comparison; an invalid string counts as 0, by the rules that values are read by."""
+    return x if is_numeric(x) else number_of(str(x)) or 0
 
 
 def as_text(x: Any) -> str:

@@ -27,6 +27,10 @@ MAX_KEYS = 100
 KEY_TYPES = ("DEFAULT", "CHARACTER", "NUMERIC", "RIGHT_ADJUSTED", "NOCASE")
 
 
+#: What a cursor does when the value it is sent to isn't there.
+MISSES = ("next", "prev", "invalidate", "remain")
+
+
 class SetError(ValueError):
     pass
 
@@ -98,12 +102,17 @@ class RecordSet:
         return self.frame.select(*ID).orderBy(*ID).limit(most)
 
     def record_at(self, n: int) -> DataFrame:
-        """The n-th record (from 0) in natural order: the last of the first n + 1."""
-        return self.frame.orderBy(*ID).limit(n + 1).orderBy(*(F.desc(c) for c in ID)).limit(1) if n >= 0 else self.clear().frame
+        """The n-th record (from 0) in natural order, found by its place among the record numbers."""
+        if n < 0:
+            return self.clear().frame
+        here = numbered(self.ids, tuple(F.col(c).asc() for c in ID)).where(F.col("rn") == n + 1)
+        return self.frame.join(F.broadcast(here.select(*ID)), ID, "left_semi")  # one row
 
     def cursor(self) -> Iterator[Row]:
         """Rows in natural order, one partition at a time."""
-        return self.ordered().toLocalIterator()
+        for row in self.ordered().toLocalIterator():
+            self.context.counted("RECDS")
+            yield row
 
     def _column(self, name: str) -> tuple[Column, bool]:
         self.context.field(name)
@@ -159,6 +168,7 @@ class RecordSet:
     # --- sorting ---------------------------------------------------------------------------------
 
     def sort(self, *keys: "SortKey | str", collect: list[str] | None = None, first_only: list[str] = (), limit: int | None = None) -> "SortedSet":
+        self.context.counted("SORTS")
         return SortedSet.of(self, tuple(k if isinstance(k, SortKey) else SortKey(k) for k in keys), collect, tuple(first_only), limit)
 
 
@@ -220,6 +230,12 @@ class SortedSet:
                 rows = rows.withColumn(f"_first_{name}", F.get(F.col(f"`{name}`"), F.lit(0)))
         return SortedSet(base, keys, rows, tuple(order), tuple(collect))
 
+    def records(self) -> DataFrame:
+        """The sorted records with all their fields, read from the records themselves: for a sort that collected
+        its keys only."""
+        places = numbered(self.rows.select(*dict.fromkeys([*ID, *(k.field for k in self.keys), *(c for c in self.rows.columns if c.startswith("_turn_"))])), self.order).select("rn", *ID)
+        return places.join(self.base.frame, ID).select("rn", *self.base.frame.columns)
+
     def _out(self) -> list[Column]:
         return [F.col(f"_first_{c}").alias(c) if f"_first_{c}" in self.rows.columns else F.col(f"`{c}`") for c in self.columns]
 
@@ -331,11 +347,20 @@ class ValueCursor:
         near = ahead.orderBy(c.asc() if up else c.desc()).limit(abs(n) + 1)
         return near.agg(F.count("*").alias("k"), (F.max if up else F.min)("value").alias("value")).where(F.col("k") == abs(n) + 1).select("value")
 
-    def set_position(self, value: Any, miss: str = "next") -> DataFrame:
-        """The value itself, or on a miss the next, the previous, or nothing (``invalidate``)."""
+    def set_position(self, value: Any, miss: str = "next", position: Any = None) -> DataFrame:
+        """The value itself, or on a miss the next one, the previous one, nothing (``invalidate``), or the
+        ``position`` the cursor had (``remain``; nothing if it had none).
+
+        Where a search begins (current position, first or last value) has no effect on what it finds.
+        """
+        if miss not in MISSES:
+            raise SetError(f"no way to miss called {miss!r}")
         c = F.col("value")
         if miss == "invalidate":
             return self.source.where(c == value).select("value")
+        if miss == "remain":
+            near = self.source.where(c.isin([value] if position is None else [value, position])).select("value")
+            return near.orderBy(F.desc(c == value)).limit(1)  # at most two rows
         up = (miss == "next") != self.descending
         found = self.source.where(c >= value).agg(F.min("value").alias("value")) if up else self.source.where(c <= value).agg(F.max("value").alias("value"))
         return found.where("value IS NOT NULL")
@@ -346,3 +371,48 @@ class ValueCursor:
         places = numbered(self.source, order)
         ahead = places.select((F.col("rn") - n).alias("rn"), F.col("value").alias("next_value"))
         return places.join(ahead, "rn", "left").select("value", "next_value")
+
+
+@dataclass
+class CursorPosition:
+    """A value cursor that stands somewhere: on a value, or nowhere (``value`` is None)."""
+
+    cursor: ValueCursor
+    value: Any = None
+
+    @property
+    def accessible(self) -> bool:
+        return self.value is not None
+
+    def _stand(self, found: DataFrame) -> bool:
+        row = found.first()  # a position is one value
+        self.value = None if row is None else row["value"]
+        return self.accessible
+
+    def goto_first(self) -> bool:
+        return self._stand(self.cursor.first())
+
+    def goto_last(self) -> bool:
+        return self._stand(self.cursor.last())
+
+    def advance(self, n: int = 1) -> bool:
+        return self.accessible and self._stand(self.cursor.advance(self.value, n))
+
+    def set_position(self, value: Any, miss: str = "invalidate") -> bool:
+        return self._stand(self.cursor.set_position(value, miss, self.value))
+
+    def clone(self) -> "CursorPosition":
+        return CursorPosition(self.cursor, self.value)
+
+    def adopt(self, other: "CursorPosition") -> None:
+        """Goes where another cursor over the same values stands."""
+        self._same(other)
+        self.value = other.value
+
+    def swap(self, other: "CursorPosition") -> None:
+        self._same(other)
+        self.value, other.value = other.value, self.value
+
+    def _same(self, other: "CursorPosition") -> None:
+        if self.cursor.source is not other.cursor.source:
+            raise SetError("the cursors belong to different values")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import num_to_str, to_num
 from ..plans.catalog import RECNUM, FileDef
-from .ranking import numbered
+from .ranking import numbered, tie_breakers
 from .sets import RecordSet
 
 
@@ -117,7 +117,7 @@ def occurrence_report(file: FileDef, name: str, occ: int | None = None, value: A
 
 
 def store_records(file: FileDef, rows: DataFrame, order: list[str], strict: bool = False) -> FileDef:
-    """Appends records, numbered after the last one in the order of the columns ``order``.
+    """Appends records, numbered after the last one in the order of the columns ``order`` and then of the others.
 
     Fields that ``rows`` lacks are missing in the new records.
     """
@@ -133,8 +133,8 @@ def store_records(file: FileDef, rows: DataFrame, order: list[str], strict: bool
         return F.array(stored(F.col(f"`{c}`"), kind.elementType, strict)) if isinstance(kind, T.ArrayType) else stored(F.col(f"`{c}`"), kind, strict)
 
     last = file.frame.agg(F.coalesce(F.max(RECNUM), F.lit(-1)).alias("_last"))
-    placed = numbered(rows, tuple(F.col(f"`{c}`").asc_nulls_first() for c in order), "_place")
-    new = placed.select((last.scalar() + F.col("_place")).alias(RECNUM), *(converted(c).alias(c) for c in rows.columns))
+    placed = numbered(rows, tie_breakers(rows, order), "_number")
+    new = placed.select((last.scalar() + F.col("_number")).alias(RECNUM), *(converted(c).alias(c) for c in rows.columns))
     return file.with_frame(file.frame.unionByName(new, allowMissingColumns=True))
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import FileDef
+from .checkpoints import listed
 
-#: Known parameters and their values at the start.
-DEFAULTS = {"MBSCAN": -1, "STRICTNUM": 0, "LOADTHRD": 1, "MAXRECNO": 16_777_215}
+#: Known parameters and their values at the start: records that a find may scan (-1: any), whether a bad
+#: number is refused instead of stored as 0, and the largest record number.
+DEFAULTS = {"MBSCAN": -1, "STRICTNUM": 0, "MAXRECNO": 16_777_215}
 
 
 @dataclass
@@ -35,11 +37,14 @@ class Parameters:
 class Statistics:
     """Counters of finds and records; records are counted while a result is read, not by a second run."""
 
-    counters: dict[str, int] = field(default_factory=lambda: {"FINDS": 0, "RECDS": 0, "DIRRCD": 0})
+    counters: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("FINDS", "RECDS", "DIRRCD", "SORTS", "RECADD", "RECDEL", "COMMITS", "BACKOUTS"), 0))
     pending: list[tuple[str, Observation]] = field(default_factory=list)
 
+    def add(self, counter: str, n: int = 1) -> None:
+        self.counters[counter] += n
+
     def watched(self, frame: DataFrame, counter: str = "RECDS") -> DataFrame:
-        self.counters["FINDS"] += 1
+        """``frame``, its rows counted as they are read."""
         seen = Observation()
         self.pending.append((counter, seen))
         return frame.observe(seen, F.count(F.lit(1)).alias("n"))
@@ -51,14 +56,26 @@ class Statistics:
         self.pending.clear()
         return dict(self.counters)
 
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(sorted(self.counters.items()), "name string, n long")
+
 
-def find_report(context, criteria) -> dict[str, str]:
-    """The criteria's tree and Spark's plan for it, without running anything."""
+def find_report(context, criteria, run: bool = False) -> dict[str, str]:
+    """What a find was given (``spec``), its tree, the expression it is compiled to (``restructured``) and Spark's
+    plan for it; nothing is run unless ``run`` asks for how many records meet each criterion and the whole."""
     from ..operators.parser import parse_find
+    from ..operators.predicate import Binder, set_conjuncts
 
     tree = parse_find(criteria) if isinstance(criteria, str) else criteria
-    plan = context.find(tree).frame._jdf.queryExecution().explainString(context.frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    return {"tree": tree.dump(), "plan": plan}
+    found = context.find(tree).frame
+    _, rest = set_conjuncts(tree)
+    compiled = "" if rest is None else str(Binder(context._merged(), context.frame).column(rest)._jc)
+    plan = found._jdf.queryExecution().explainString(context.frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    out = {"spec": str(criteria), "tree": tree.dump(), "restructured": compiled, "plan": plan}
+    if run:
+        counts = {r["criterion"]: r["n"] for r in criterion_counts(context, tree).collect()}  # one row per criterion
+        out["counts"] = "\n".join([*(f"{k}: {n}" for k, n in counts.items()), f"found: {found.count()}"])
+    return out
 
 
 def criterion_counts(context, criteria) -> DataFrame:
@@ -84,20 +101,37 @@ def index_analysis(records, name: str) -> DataFrame:
 
 @dataclass
 class Versions:
-    """Snapshots of a file below one folder: each checkpoint is a new directory, a rollback reads an older one."""
+    """Snapshots of a file below one folder: each checkpoint is a new directory, a rollback reads an older one.
+
+    The folder alone says which versions there are, so a new session goes on where the last one ended.
+    A version counts when its data is complete; its number is never used again, even after a rollback.
+    """
 
     spark: SparkSession
     folder: str
-    latest: int = 0
+
+    def numbers(self) -> list[int]:
+        """Complete versions, rising."""
+        names = [n for n in listed(self.spark, self.folder) if n[:1] == "v" and n[1:].isdigit()]
+        return sorted(int(n[1:]) for n in names if "_SUCCESS" in listed(self.spark, f"{self.folder}/{n}/data"))
+
+    @property
+    def latest(self) -> int:
+        return max(self.numbers(), default=0)
 
     def checkpoint(self, file: FileDef) -> int:
-        file.frame.write.parquet(f"{self.folder}/v{self.latest + 1}")
-        self.latest += 1
-        return self.latest
+        begun = [int(n[1:]) for n in listed(self.spark, self.folder) if n[:1] == "v" and n[1:].isdigit()]
+        version = max(begun, default=0) + 1
+        if file.entries is not None:
+            file.entries.write.parquet(f"{self.folder}/v{version}/entries")
+        file.frame.write.parquet(f"{self.folder}/v{version}/data")  # last: it makes the version complete
+        return version
 
     def rollback(self, file: FileDef, version: int | None = None) -> FileDef:
-        version = self.latest if version is None else version
-        if not 1 <= version <= self.latest:
+        there = self.numbers()
+        version = (there[-1] if there else 0) if version is None else version
+        if version not in there:
             raise ValueError(f"no version {version}")
-        self.latest = version
-        return file.with_frame(self.spark.read.parquet(f"{self.folder}/v{version}"))
+        at = f"{self.folder}/v{version}"
+        entries = self.spark.read.parquet(f"{at}/entries") if "entries" in listed(self.spark, at) else None
+        return replace(file, frame=self.spark.read.parquet(f"{at}/data"), entries=entries)

@@ -131,11 +131,18 @@ class FileDef:
         if new in self.fields:
             raise CatalogError(f"{new} is already defined")
         fields = {(new if k == old else k): (replace(f, name=new) if k == old else v) for k, v in self.fields.items()}
-        return replace(self, frame=self.frame.withColumnRenamed(old, new), fields=fields)
+        from pyspark.sql import functions as F
+
+        entries = self.entries
+        if f.storage == "INVISIBLE" and entries is not None:
+            entries = entries.withColumn("field", F.when(F.col("field") == old, F.lit(new)).otherwise(F.col("field")))
+        return replace(self, frame=self.frame.withColumnRenamed(old, new), fields=fields, entries=entries)
 
     def delete(self, name: str) -> "FileDef":
-        self.field(name)
-        return replace(self, frame=self.frame.drop(name), fields={k: v for k, v in self.fields.items() if k != name})
+        entries = self.entries
+        if self.field(name).storage == "INVISIBLE" and entries is not None:
+            entries = entries.where(entries["field"] != name)
+        return replace(self, frame=self.frame.drop(name), fields={k: v for k, v in self.fields.items() if k != name}, entries=entries)
 
     def redefine(self, new: Field) -> "FileDef":
         """Changes a field's attributes; of storage and index only one at a time."""

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.pattern import like
+from ..functions.pattern import from_other_dialect, like
 from ..operators import joins, updates
 from ..operators.predicate import ALL, NONE, file_is, in_set, point, single_record, where
+from ..operators.ranking import numbered
 from ..operators.sets import RecordSet, SortKey
 from ..sources import files
-from . import admin
+from . import admin, checkpoints
 from .catalog import FILE_IX, RECNUM, Field
 from .fixtures import (
     CUSTOMER_SPARSE_SQL,
@@ -101,6 +103,11 @@ finder("find_like_hex", "orders", "O_ORDERPRIORITY", where("O_ORDERPRIORITY", "L
 finder("find_like_nocase", "part", P, where("P_NAME", "LIKE", "NOCASE:*RE*"), "contains(upper(p_name), 'RE')")
 finder("find_unlike", "part", P, where("P_NAME", "UNLIKE", "*e*"), "NOT contains(p_name, 'e')")
 finder("find_not_like", "part", P, where("P_NAME", "NOT_LIKE", "*e*"), "NOT contains(p_name, 'e')")
+finder("find_like_nested", "customer", "C_NAME", where("C_NAME", "LIKE", "/2-9(*0,*7)1"), "regexp_full_match(c_name, '(.*(0|7)){2,9}1')")
+finder("find_like_three_runs", "documents", "LANG", where("TEXT", "LIKE", "*and*the*of*"), "regexp_full_match(text, '.*and.*the.*of.*', 's')")
+finder("find_like_empty_member", "part", "P_NAME", where("P_NAME", "LIKE", "(,red)*(blue,)"), "regexp_full_match(p_name, '(|red).*(blue|)')")
+finder("find_like_other_dialect", "orders", "O_ORDERPRIORITY", where("O_ORDERPRIORITY", "LIKE", from_other_dialect('?"-*')), "regexp_full_match(o_orderpriority, '.-.*')")
+finder("find_spliced", "part", P, where("P_SIZE", "GT", 40).splice(where("P_NAME", "LIKE", "a*")).splice(where("P_SIZE", "EQ", 1), "OR"), "p_size > 40 AND starts_with(p_name, 'a') OR p_size = 1")
 finder("find_like_pages", "pages", "URL", where("URL", "LIKE", "https:*!/(de,fr)!/*"), "regexp_full_match(url, 'https:.*/(de|fr)/.*', 's')")
 finder("find_point", "orders", O, point(500), "o_orderkey >= 500")
 finder("find_not_point", "orders", O, ~point(500), "o_orderkey < 500")
@@ -123,6 +130,15 @@ def find_force_num(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(Context("NUMTEXT", (numeric_text(spark, sf_dir),)).find(where("TXT", "N_EQ", 0)), "TXT")
 
 
+@register("find_force_num_operands", f"WITH {NUMERIC_TEXT_SQL}, operands AS (SELECT * FROM (VALUES ('- 5', -5.0), ('1_000', 0.0), ('nan', 0.0), (' +7 ', 7.0), ('12345678901234567', 0.0), ('1E2', 100.0)) AS t(operand, number)) SELECT operand, id, txt FROM numtext, operands WHERE coalesce(num, 0) = number")
+def find_force_num_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.context import Context
+
+    c = Context("NUMTEXT", (numeric_text(spark, sf_dir),))
+    found = [shown(c.find(where("TXT", "N_EQ", x)), "TXT").withColumn("operand", F.lit(x)) for x in ("- 5", "1_000", "nan", " +7 ", "12345678901234567", "1E2")]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _sparse(spark: SparkSession, sf_dir: str):
     from ..operators.context import Context
 
@@ -285,8 +301,34 @@ def value_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("cursor_first_last", "SELECT min(o_totalprice) AS first, max(o_totalprice) AS last FROM orders")
 def cursor_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = context(spark, sf_dir, "orders").value_cursor("O_TOTALPRICE").source
-    return prices.agg(F.min("value").alias("first"), F.max("value").alias("last"))
+    up = context(spark, sf_dir, "orders").value_cursor("O_TOTALPRICE")
+    return up.first().select(F.col("value").alias("first")).withColumn("last", up.last().scalar())
+
+
+@register("cursor_first_last_descending", "SELECT max(p_brand) AS first, min(p_brand) AS last FROM part")
+def cursor_first_last_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    down = context(spark, sf_dir, "part").value_cursor("P_BRAND", descending=True)
+    return down.first().select(F.col("value").alias("first")).withColumn("last", down.last().scalar())
+
+
+@register("cursor_remain", "SELECT 20 AS value, 'hit' AS way UNION ALL SELECT 7, 'miss'")
+def cursor_remain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cursor = context(spark, sf_dir, "part").value_cursor("P_SIZE")
+    return cursor.set_position(20, "remain", 7).withColumn("way", F.lit("hit")).unionByName(cursor.set_position(1000, "remain", 7).withColumn("way", F.lit("miss")))
+
+
+@register("cursor_clone_adopt_swap", "WITH v AS (SELECT value, row_number() OVER (ORDER BY value) AS rn FROM (SELECT DISTINCT p_brand AS value FROM part)) SELECT (SELECT value FROM v WHERE rn = 3) AS a, (SELECT max(value) FROM v) AS b, (SELECT value FROM v WHERE rn = 3) AS c")
+def cursor_clone_adopt_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.sets import CursorPosition
+
+    a = CursorPosition(context(spark, sf_dir, "part").value_cursor("P_BRAND"))
+    a.goto_first()
+    b, c = a.clone(), a.clone()
+    a.goto_last()
+    b.advance(2)
+    a.swap(b)
+    c.adopt(a)
+    return spark.createDataFrame([(a.value, b.value, c.value)], "a string, b string, c string")
 
 
 @register("cursor_advance", "WITH v AS (SELECT DISTINCT p_size AS value FROM part) SELECT value FROM v WHERE value >= 20 ORDER BY value LIMIT 1 OFFSET 3")
@@ -390,6 +432,18 @@ def record_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(context(spark, sf_dir, "orders").find("O_ORDERSTATUS = P").record_at(5), "O_TOTALPRICE")
 
 
+@register("sort_keys_only", "SELECT CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn, o_orderkey AS id, o_orderpriority FROM orders")
+def sort_keys_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = context(spark, sf_dir, "orders").find().sort(SortKey("O_TOTALPRICE", descending=True), collect=[]).records()
+    return records.select("rn", F.col(RECNUM).alias("id"), F.col("O_ORDERPRIORITY").alias("o_orderpriority"))
+
+
+@register("natural_order", f"WITH {PARTIES_SQL} SELECT ix, id, CAST(row_number() OVER (ORDER BY ix, id) - 1 AS BIGINT) AS place FROM party WHERE acctbal < 0")
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = parties(spark, sf_dir).find("ACCTBAL LT 0")
+    return numbered(ordered.ids, (F.col(FILE_IX), F.col(RECNUM)), "place").select(F.col(FILE_IX).alias("ix"), F.col(RECNUM).alias("id"), (F.col("place") - 1).alias("place"))
+
+
 # --- lists ---------------------------------------------------------------------------------------
 
 
@@ -444,6 +498,11 @@ def blob_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context(spark, sf_dir, "documents").find().blob_length("TEXT").select(F.col(RECNUM).alias("id"), "length")
 
 
+@register("copy_all", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1")
+def copy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(context(spark, sf_dir, "nation").find("N_REGIONKEY = 1").copy(), "N_NATIONKEY", "N_NAME", "N_REGIONKEY")
+
+
 @register("field_dictionary", "SELECT * FROM (VALUES ('O_CUSTKEY', 'FLOAT', 'NUM'), ('O_ORDERDATE', 'STRING', 'CHAR'), ('O_ORDERKEY', 'FLOAT', 'NUM'), ('O_ORDERPRIORITY', 'STRING', 'CHAR'), ('O_ORDERSTATUS', 'STRING', 'CHAR'), ('O_TOTALPRICE', 'FLOAT', 'NUM')) AS t(name, storage, index)")
 def field_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file(spark, sf_dir, "orders").dictionary(spark).select("name", "storage", "index")
@@ -504,6 +563,54 @@ def store_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(updates.store_record(file(spark, sf_dir, "region"), [("R_NAME", "ATLANTIS")]).frame, "R_NAME")
 
 
+@register("group_store", f"WITH {PARTIES_SQL} SELECT ix, id, name, acctbal FROM party WHERE acctbal < -900 UNION ALL SELECT 0, (SELECT max(id) + 1 FROM party WHERE ix = 0), 'NEW ONE', -950.5")
+def group_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = parties(spark, sf_dir).store_record([("NAME", "NEW ONE"), ("ACCTBAL", "-950.5")]).find("ACCTBAL LT -900").frame
+    return stored.select(F.col(FILE_IX).alias("ix"), F.col(RECNUM).alias("id"), F.col("NAME").alias("name"), F.col("ACCTBAL").alias("acctbal"))
+
+
+@register("store_converted", f"WITH {NUMERIC_TEXT_SQL} SELECT -1 + row_number() OVER (ORDER BY txt, id) AS id, coalesce(num, 0) AS n FROM numtext")
+def store_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.context import Engine
+
+    engine = Engine(spark)
+    engine.create("NUMBERS", [Field("N", "FLOAT", "NUM"), Field("OLD", "FLOAT", "NUM"), Field("TXT")])
+    rows = numeric_text(spark, sf_dir).frame.select(F.col("TXT").alias("N"), F.col(RECNUM).alias("OLD"), "TXT")
+    return shown(engine.open("NUMBERS").store_records(rows, ["TXT", "OLD"]).find(), "N")
+
+
+@register("copy_records", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY n_name), n_name FROM nation WHERE n_regionkey = 2")
+def copy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = context(spark, sf_dir, "nation")
+    template = c.find("N_REGIONKEY = 2").copy().select("N_NATIONKEY", "N_NAME", "N_REGIONKEY")
+    return shown(c.store_records(template, ["N_NAME"]).find(), "N_NAME")
+
+
+@register("dirty_delete", "SELECT o_orderkey AS id, o_orderstatus FROM orders WHERE o_totalprice <= 200000")
+def dirty_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = context(spark, sf_dir, "orders")
+    return shown(updates.dirty_delete_records(c.members[0], c.find("O_TOTALPRICE GT 200000")).frame, "O_ORDERSTATUS")
+
+
+@register("rename_invisible", "SELECT o_orderkey AS id, o_totalprice FROM orders WHERE o_totalprice > 400000")
+def rename_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = context(spark, sf_dir, "orders")
+    c = c.with_file(c.members[0].define(Field("MARK", "INVISIBLE", "CHAR")).define(Field("OTHER", "INVISIBLE", "CHAR")))
+    c = c.file_records_under(c.find("O_TOTALPRICE GT 400000"), "MARK", "DEAR").file_records_under(c.find("O_ORDERSTATUS = P"), "OTHER", "DEAR")
+    return shown(c.with_file(c.members[0].rename("MARK", "LABEL").delete("OTHER")).find_filed("LABEL", "DEAR"), "O_TOTALPRICE")
+
+
+@register("rollback", "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name, 'first' AS version FROM region UNION ALL SELECT r_regionkey, 'CHANGED', 'last' FROM region")
+def rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, versions = file(spark, sf_dir, "region"), admin.Versions(spark, checkpoints.new_path(spark))
+    versions.checkpoint(f)
+    versions.checkpoint(updates.delete_each(f, "R_NAME"))
+    first = versions.rollback(f, 1)
+    versions.checkpoint(updates.change_field(first, "R_NAME", "CHANGED", 1))
+    both = ((first, "first"), (admin.Versions(spark, versions.folder).rollback(f), "last"))
+    return reduce(DataFrame.unionByName, [shown(v.frame, "R_NAME").withColumn("version", F.lit(name)) for v, name in both])
+
+
 @register("delete_records", "SELECT o_orderkey AS id, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
 def delete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = context(spark, sf_dir, "orders")
@@ -538,9 +645,14 @@ def backout(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- unload, load --------------------------------------------------------------------------------
 
 
-@register("unload_pai", "SELECT CAST(n_nationkey AS BIGINT) AS id, 'N_NATIONKEY = ' || n_nationkey || chr(10) || 'N_NAME = ' || n_name || chr(10) || 'N_REGIONKEY = ' || n_regionkey || chr(10) || '$$$' AS text FROM nation")
+@register("unload_pai", "SELECT o_orderkey AS id, o_orderkey || chr(10) || 'O_TOTALPRICE = ' || regexp_replace(regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18, 4)) AS VARCHAR), '0+$', ''), '\\.$', '') || chr(10) || 'O_ORDERPRIORITY = ' || o_orderpriority || chr(10) || '$$$' AS text FROM orders")
 def unload_pai(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.unload_pai(file(spark, sf_dir, "nation")).select(F.col(RECNUM).alias("id"), "text")
+    return files.unload_pai(file(spark, sf_dir, "orders"), include=["O_TOTALPRICE", "O_ORDERPRIORITY"]).select(F.col(RECNUM).alias("id"), "text")
+
+
+@register("unload_no_float", "SELECT CAST(s_suppkey AS BIGINT) AS id, regexp_replace(regexp_replace(CAST(CAST(s_acctbal AS DECIMAL(18, 4)) AS VARCHAR), '0+$', ''), '\\.$', '') AS s_acctbal, s_name FROM supplier")
+def unload_no_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(files.unload_data(file(spark, sf_dir, "supplier"), no_float=True), "S_ACCTBAL", "S_NAME")
 
 
 @register("unload_subset", "SELECT o_orderkey AS id, o_totalprice FROM orders WHERE o_orderstatus = 'P'")
@@ -559,11 +671,98 @@ def unload_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file(spark, sf_dir, "region").definitions(spark)
 
 
-@register("pai_round_trip", "SELECT CAST(n_nationkey AS BIGINT) AS id, 'N_NAME' AS fname, n_name AS sval FROM nation UNION ALL SELECT n_nationkey, 'N_REGIONKEY', CAST(n_regionkey AS VARCHAR) FROM nation")
+#: Texts with line ends, end marks and what looks like a field.
+_NASTY = "replace(text, '. ', '.' || {newline} || '$$$' || {newline} || 'TEXT = ')"
+
+
+@register("pai_round_trip", f"SELECT doc_id AS id, 'TEXT' AS fname, {_NASTY.format(newline='chr(10)')} AS sval FROM documents UNION ALL SELECT doc_id, 'LANG', lang FROM documents")
 def pai_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = file(spark, sf_dir, "documents")
+    f = f.with_frame(f.frame.withColumn("TEXT", F.expr(_NASTY.format(newline="char(10)"))))
+    text = files.unload_pai(f, include=["TEXT", "LANG"])
+    return files.parse_pai(text, f).select(F.col(RECNUM).alias("id"), "fname", "sval")
+
+
+@register("pai_ebcdic_round_trip", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM nation")
+def pai_ebcdic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = file(spark, sf_dir, "nation")
-    text = files.unload_pai(f, exclude=["N_NATIONKEY"], ebcdic=True)
-    return files.parse_pai(text, f, ebcdic=True).select(F.col(RECNUM).alias("id"), "fname", "sval")
+    return shown(files.load_pai(files.unload_pai(f, ebcdic=True, crlf=True), f, ebcdic=True, crlf=True), "N_NAME", "N_REGIONKEY")
+
+
+@register("unload_load_entries", "SELECT o_orderkey AS id, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 100000")
+def unload_load_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.context import Context
+
+    c = context(spark, sf_dir, "orders")
+    c = c.with_file(c.members[0].define(Field("MARK", "INVISIBLE", "CHAR")))
+    c = c.file_records_under(c.find("O_ORDERSTATUS = P"), "MARK", "PENDING")
+    path = checkpoints.new_path(spark)
+    files.unload(c.members[0], path, within=c.find("O_TOTALPRICE GT 100000"))
+    return shown(Context("ORDERS", (files.load(spark, "ORDERS", path),)).find_filed("MARK", "PENDING"), "O_TOTALPRICE")
+
+
+@register("fast_load_entries", "WITH new AS (SELECT o_orderkey, o_totalprice, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS id FROM orders WHERE o_orderstatus = 'P') SELECT id, o_totalprice FROM new UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'")
+def fast_load_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = context(spark, sf_dir, "orders")
+    c = c.with_file(c.members[0].define(Field("MARK", "INVISIBLE", "CHAR")))
+    c = c.file_records_under(c.find("O_ORDERSTATUS = P"), "MARK", "PENDING")
+    f = c.members[0]
+    loaded, _ = files.fast_load(f, files.unload_data(f, c.find("O_ORDERSTATUS = P")), ["O_TOTALPRICE", "O_ORDERKEY"], f.entries)
+    return shown(c.with_file(loaded).find_filed("MARK", "PENDING"), "O_TOTALPRICE")
+
+
+def _deferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of order keys under their customers' records."""
+    orders = read(spark, sf_dir, "orders")
+    return orders.select(F.lit("ORDERNO").alias("field"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("value"), F.col("o_custkey").alias(RECNUM)).unionByName(
+        orders.where("o_orderstatus = 'P'").select(F.lit("MARK").alias("field"), F.lit("PENDING").alias("value"), F.col("o_custkey").alias(RECNUM))
+    )
+
+
+@register("deferred_multi_step", "SELECT c_custkey AS id, string_agg(lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), ',' ORDER BY o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def deferred_multi_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = checkpoints.new_path(spark)
+    files.defer(_deferred(spark, sf_dir), path)
+    f = file(spark, sf_dir, "customer").define(Field("ORDERNO", "STRING", "CHAR", multi=True)).define(Field("MARK", "INVISIBLE", "CHAR"))
+    return files.apply_deferred(f, spark.read.parquet(path)).frame.select(F.col(RECNUM).alias("id"), F.array_join("ORDERNO", ",").alias("orders"))
+
+
+@register("deferred_single_step", "SELECT DISTINCT c_custkey AS id, c_name FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'P'")
+def deferred_single_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = context(spark, sf_dir, "customer")
+    f = c.members[0].define(Field("ORDERNO", "STRING", "CHAR", multi=True)).define(Field("MARK", "INVISIBLE", "CHAR"))
+    return shown(c.with_file(files.apply_deferred(f, files.deferred_updates(_deferred(spark, sf_dir)))).find_filed("MARK", "PENDING"), "C_NAME")
+
+
+@register("reorganize", "SELECT CAST(row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS BIGINT) AS id, p_partkey, p_name FROM part")
+def reorganize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(files.reorganize(file(spark, sf_dir, "part"), ["P_NAME", "P_PARTKEY"]).frame, "P_PARTKEY", "P_NAME")
+
+
+@register("fixed_records", "SELECT p_partkey AS id, p_name AS name FROM part")
+def fixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = checkpoints.new_path(spark)
+    lines = read(spark, sf_dir, "part").select(F.concat(F.lpad(F.col("p_partkey").cast("string"), 10, "0"), "p_name").alias("line"))
+    files.write_lines(lines, path, lrecl=60)
+    return files.read_fixed(spark, path, [("ID", 1, 10), ("NAME", 11, 50)]).select(F.col("ID").cast("long").alias("id"), F.col("NAME").alias("name"))
+
+
+@register("fixed_records_no_line_ends", "SELECT p_partkey AS id, rtrim(left(p_name, 5)) AS name FROM part")
+def fixed_records_no_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = checkpoints.new_path(spark)
+    record = F.concat(F.lpad(F.col("p_partkey").cast("string"), 10, "0"), F.rpad(F.left("p_name", F.lit(5)), 9, " "), F.lit("|"))
+    read(spark, sf_dir, "part").select(record.alias("value")).write.option("lineSep", "|").text(path)
+    # each record is followed by the separator: 21 bytes in all
+    return files.read_fixed(spark, path, [("ID", 1, 10), ("NAME", 11, 9)], lrecl=21).select(F.col("ID").cast("long").alias("id"), F.col("NAME").alias("name"))
+
+
+@register("audit_appended", "SELECT event_id AS id, event_type AS line FROM events WHERE event_type IN ('click', 'purchase')")
+def audit_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, events = checkpoints.new_path(spark), read(spark, sf_dir, "events")
+    for kind in ("click", "purchase"):
+        files.audit_append(events.where(F.col("event_type") == kind).select("ts", F.concat_ws(":", "event_id", "event_type").alias("line")), path)
+    lines = files.audit_extract(spark.read.parquet(path), most=None)
+    return lines.select(F.substring_index("line", ":", 1).cast("long").alias("id"), F.substring_index("line", ":", -1).alias("line"))
 
 
 @register("fast_load", "SELECT CAST(row_number() OVER (ORDER BY c_name) - 1 AS BIGINT) AS id, c_custkey AS old, c_name FROM customer")
@@ -589,6 +788,48 @@ def index_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.index_analysis(context(spark, sf_dir, "orders").find(), "O_CUSTKEY")
 
 
+@register("open_contexts", "SELECT * FROM (VALUES ('PARTY', 'TEMP', 0, 'CUSTOMER', true), ('PARTY', 'TEMP', 1, 'SUPPLIER', false)) AS t(name, kind, place, member, takes_updates)")
+def open_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.context import Engine
+
+    engine = Engine(spark)
+    for table in ("customer", "supplier"):
+        engine.create(table.upper(), [Field("NAME")])
+    engine.create_group("PARTY", ["CUSTOMER", "SUPPLIER"], "CUSTOMER")
+    engine.create_group("PARTY", ["SUPPLIER"], kind="PERM")
+    return engine.display_group("PARTY").drop("n_fields")
+
+
+@register("initialized", "SELECT 0 AS n, 3 AS n_fields")
+def initialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.context import Engine
+
+    engine = Engine(spark)
+    engine.allocate(file(spark, sf_dir, "nation"))
+    cleared = engine.initialize("NATION")
+    return cleared.frame.agg(F.count("*").cast("int").alias("n")).withColumn("n_fields", F.lit(len(cleared.fields)))
+
+
+@register("parameters_view", "SELECT * FROM (VALUES ('MAXRECNO', '16777215'), ('MBSCAN', '500'), ('STRICTNUM', '0')) AS t(name, value)")
+def parameters_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parameters = admin.Parameters()
+    parameters.reset("MBSCAN", "500")
+    return parameters.frame(spark)
+
+
+@register("statistics_view", "SELECT 'FINDS' AS name, 2 AS n UNION ALL SELECT 'RECDS', count(*) FROM region UNION ALL SELECT 'SORTS', 1")
+def statistics_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.context import Engine
+
+    engine = Engine(spark)
+    engine.allocate(file(spark, sf_dir, "region"))
+    c = engine.open("REGION")
+    c.find("R_NAME LIKE A*").sort("R_NAME")
+    for _ in c.find().cursor():
+        pass
+    return engine.statistics.frame(spark).where("n > 0")
+
+
 # --- functions -----------------------------------------------------------------------------------
 
 
@@ -617,3 +858,32 @@ def pad_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("prefix_bound", f"SELECT p_partkey AS id, p_name FROM part WHERE p_name >= 're' AND p_name < '{V.next_string('re')}'")
 def prefix_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").where(like(F.col("p_name"), "re*")).select(F.col("p_partkey").alias("id"), "p_name")
+
+
+@register("round_places", "SELECT c_custkey AS id, round(c_acctbal, 1) AS nearest, trunc(c_acctbal) AS cut, sign(c_acctbal) * ceil(abs(c_acctbal)) AS up FROM customer")
+def round_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("c_acctbal")
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.round_places(x, 1).alias("nearest"), V.round_places(x, 0, "trunc").alias("cut"), V.round_places(x, 0, "up").alias("up"))
+
+
+@register("hex_strings", "SELECT p_partkey AS id, hex(p_name) AS h, p_name AS back, upper(to_hex(p_partkey)) AS n, p_partkey AS number FROM part")
+def hex_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = F.col("p_name"), F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(k.alias("id"), V.string_to_hex(n).alias("h"), V.hex_to_string(V.string_to_hex(n)).alias("back"), V.int_to_hex(k).alias("n"), V.hex_to_int(V.int_to_hex(k)).alias("number"))
+
+
+@register("string_helpers", "SELECT p_partkey AS id, reverse(p_name) AS r, translate(p_name, 'e', 'E') AS c, replace(p_name, 're', '-') AS s, CASE WHEN length(p_name) > 8 THEN left(p_name, 5) || '...' ELSE rpad(p_name, 8, ' ') END AS e, format('{:,}', p_partkey) AS t FROM part")
+def string_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_name")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), V.reverse(n).alias("r"), V.replace_char(n, "e", "E").alias("c"), V.replace_string(n, "re", "-").alias("s"), V.pad_or_elide(n, 8).alias("e"), V.thousands_text(F.col("p_partkey").cast("string")).alias("t"))
+
+
+@register("string_words", "WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents) SELECT doc_id AS id, coalesce(w[2], '') AS second, CAST(len(w) AS INTEGER) AS n FROM w")
+def string_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), V.word(t, 2).alias("second"), V.word_count(t).alias("n"))
+
+
+@register("ebcdic_text", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name FROM nation")
+def ebcdic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), V.from_ebcdic(V.to_ebcdic(F.col("n_name"))).alias("n_name"))

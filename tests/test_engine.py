@@ -115,6 +115,28 @@ def test_values(t, spark):
     assert [r["value"] for r in cursor.advance("ABC", 2).collect()] == ["abc"]
     assert [r["value"] for r in cursor.advance("ABC", -1).collect()] == [""]
     assert cursor.advance("ABC", 9).collect() == []
+    assert cursor.set_position("B", "remain").collect() == []
+    assert [r["value"] for r in cursor.set_position("B", "remain", "abc").collect()] == ["abc"]
+    assert [r["value"] for r in cursor.set_position("XYZ", "remain", "abc").collect()] == ["XYZ"]
+    with pytest.raises(SetError):
+        cursor.set_position("B", "nearest")
+
+
+def test_cursor_positions(t):
+    from sievebase.operators.sets import CursorPosition
+
+    here = CursorPosition(t.value_cursor("S"))
+    assert not here.accessible and not here.advance() and here.goto_first() and here.value == ""
+    assert here.advance(2) and here.value == "XYZ" and here.goto_last() and here.value == "abc"
+    other = here.clone()
+    assert here.set_position("B", "next") and (here.value, other.value) == ("XYZ", "abc")
+    assert other.set_position("B", "remain") and other.value == "abc"
+    here.swap(other)
+    assert (here.value, other.value) == ("abc", "XYZ")
+    here.adopt(other)
+    assert here.value == "XYZ" and here.advance() and not here.advance() and not here.accessible and not other.set_position("B")
+    with pytest.raises(SetError):
+        here.adopt(CursorPosition(t.value_cursor("S")))
 
 
 def a_of(file, n):
@@ -148,6 +170,10 @@ def test_invisible_fields_are_entries_only(t):
     assert ids(c.find_filed("M", "x")) == [0, 2] and ids(c.find_filed("M", "y")) == []
     with pytest.raises(PredicateError):
         c.find("M = x")
+    # entries follow their field
+    named = c.with_file(c.members[0].rename("M", "N"))
+    assert ids(named.find_filed("N", "x")) == [0, 2] and ids(named.find_filed("M", "x")) == []
+    assert c.members[0].delete("M").entries.count() == 0
     # the entry of a deleted record stays behind, unless asked otherwise
     gone = updates.delete_records(c.members[0], c.find("A = 3"))
     assert gone.entries.count() == 2 and ids(c.with_file(gone).find_filed("M", "x")) == [0]
@@ -205,6 +231,8 @@ def test_bad_operators():
 def test_admin(t, spark, tmp_path):
     report = admin.find_report(t, "A = 3 AND NOT S PRESENT")
     assert report["tree"].splitlines()[0] == "AND" and "Physical Plan" in report["plan"]
+    assert set(report) == {"spec", "tree", "restructured", "plan"} and "exists" in report["restructured"]
+    assert admin.find_report(t, "A = 3 AND NOT S PRESENT", run=True)["counts"].splitlines() == ["A EQ 3: 1", "S PRESENT: 3", "found: 1"]
     stats = admin.Statistics()
     watched = stats.watched(t.find("A PRESENT").frame)
     watched.collect()
@@ -212,14 +240,82 @@ def test_admin(t, spark, tmp_path):
     versions = admin.Versions(spark, str(tmp_path / "v"))
     f = t.members[0]
     assert versions.checkpoint(f) == 1
-    versions.checkpoint(updates.delete_each(f, "A"))
+    assert versions.checkpoint(updates.delete_each(f, "A")) == 2
     assert a_of(versions.rollback(f, 1), 0) == [1, 10]
+    assert versions.checkpoint(updates.change_field(f, "A", 8, 1)) == 3
+    # a new session finds the versions in the folder, with the entries of invisible fields
+    again = admin.Versions(spark, str(tmp_path / "v"))
+    assert again.numbers() == [1, 2, 3] and a_of(again.rollback(f), 0) == [8, 10] and a_of(again.rollback(f, 2), 0) is None
+    marked = Context("T", (f.define(Field("M", "INVISIBLE", "CHAR")),))
+    marked = marked.file_records_under(marked.find("A PRESENT"), "M", "x")
+    back = again.rollback(marked.members[0], again.checkpoint(marked.members[0]))
+    assert back.entries.count() == 2
+    with pytest.raises(ValueError):
+        again.rollback(f, 9)
     p = admin.Parameters()
     assert p.reset("MBSCAN", "5") == 5 and p.frame(spark).count() == len(p.values)
 
 
+def test_parameters_and_counters_act(spark):
+    engine = Engine(spark)
+    engine.create("ONE", [Field("A", "FLOAT", "NONE")])
+    engine.create("TWO", [Field("A", "FLOAT", "NONE"), Field("B")])
+    engine.create_group("G", ["ONE", "TWO"], "TWO")
+    engine.create_group("H", ["ONE", "TWO"])
+    group = engine.open("GROUP G").store_record([("A", "x"), ("B", "q")]).store_record([("A", 4)])
+    assert [(m.name, m.frame.count()) for m in group.members] == [("ONE", 0), ("TWO", 2)]
+    assert [r["A"] for r in group.find().ordered().collect()] == [0, 4]
+    with pytest.raises(CatalogError):
+        engine.open("GROUP H").store_record([("A", 1)])
+    assert [tuple(r) for r in engine.display_group("G").select("kind", "member", "takes_updates", "n_fields").collect()] == [("TEMP", "ONE", False, 1), ("TEMP", "TWO", True, 2)]
+    engine.close()
+    engine.parameters.reset("STRICTNUM", 1)
+    engine.parameters.reset("MBSCAN", 0)
+    strict = engine.open("TWO")
+    with pytest.raises(Exception, match="not a number"):
+        strict.store_record([("A", "x")]).frame.collect()
+    with pytest.raises(PredicateError):
+        strict.find("A = 3")
+    list(group.find().cursor())
+    group.find().sort("A")
+    counters = engine.statistics.collect()
+    assert counters["RECADD"] == 3 and counters["RECDS"] == 2 and counters["SORTS"] == 1 and counters["FINDS"] >= 3
+    assert {r["name"]: r["n"] for r in engine.statistics.frame(spark).collect()} == counters
+
+
+def test_dispositions(spark):
+    engine = Engine(spark)
+    one = engine.create("ONE", [Field("A", "FLOAT", "NUM")])
+    for bad, file in (("NEW", one), ("TEMP", one), ("OLD", FileDef("TWO", one.frame, one.fields)), ("READONLY", FileDef("TWO", one.frame, one.fields)), ("ODD", one)):
+        with pytest.raises(CatalogError):
+            engine.allocate(file, bad)
+    engine.allocate(one, "READONLY")
+    with pytest.raises(CatalogError):
+        engine.open("ONE").store_record([("A", 1)])
+    engine.allocate(FileDef("TWO", one.frame, one.fields), "TEMP")
+    engine.open("TWO")
+    engine.close()
+    assert sorted(engine.files) == ["ONE"]
+
+
+def test_words(spark):
+    c = F.col("s")
+    frame = spark.createDataFrame([("  one two,three ",), ("",), ("a(b(c)d)e",), ("12-3",), (None,)], "s string")
+    got = [tuple(r) for r in frame.select(V.word(c, 2), V.word(c, 2, " ,"), V.word_count(c, " ,"), V.word_position(c, 2), V.word_position(c, 3, ", "), V.bracketed(c), V.is_integer(c), V.is_digits(c), V.is_alpha(c), V.one_of(c, "12-3/x"), V.reverse(c)).collect()]
+    assert got[0] == ("two,three", "two", 3, 7, 11, "", False, False, False, False, " eerht,owt eno  ")
+    assert got[1] == ("", "", 0, 0, 0, "", True, True, True, False, "")
+    assert got[2][5] == "b(c" and got[3][6:10] == (True, False, False, True) and got[4] == (None,) * 11
+    text = spark.createDataFrame([("héy",)], "s string").select(V.hex_to_string(V.string_to_hex(c)), V.replace_char(c, "h", "k"), V.replace_string(c, "éy", "ou"), V.replace_string(c, "", "x"), V.thousands_text(F.lit("1234567")), V.hex_to_string(F.lit("zz"))).first()
+    assert tuple(text) == ("héy", "kéy", "hou", "héy", "1,234,567", None)
+
+
+@pytest.mark.parametrize("text", ["- 5", "1_000", "nan", "inf", "1234567890123456", "1e400", "7\n", " + 7 ", "", " ", "1D2", ".5", "5.", "0x1", "1e-90", "0.1e1", "٣", "-", "1 2"])
+def test_constants_and_values_are_read_alike(spark, text):
+    assert spark.range(1).select(V.to_num(F.lit(text)).alias("n")).first()["n"] == V.number_of(text)
+
+
 def test_numbers(spark):
-    cases = [(0.1 + 0.2, "0.3"), (1e15, "1E+15"), (123456789012345.0, "123456789012345"), (0.0001, "0.0001"), (0.00001, "1E-05"), (-2.5, "-2.5"), (0.0, "0"), (1e80, "0"), (66942.327142857146, "66942.3271428571")]
+    cases = [(0.1 + 0.2, "0.3"), (1e15, "1E+15"), (123456789012345.0, "123456789012345"), (0.0001, "0.0001"), (0.00001, "1E-05"), (-2.5, "-2.5"), (0.0, "0"), (1e80, "0"), (66942.327142857146, "66942.3271428571"), (1234567.5, "1234567.5"), (12345678.25, "12345678.25"), (-0.0, "0"), (100.0, "100"), (123456789012345680.0, "1.23456789012346E+17"), (0.001, "0.001"), (float("nan"), "0"), (None, None)]
     frame = spark.createDataFrame([(x,) for x, _ in cases], "x double")
     got = [r["s"] for r in frame.select(V.num_to_str(F.col("x")).alias("s")).collect()]
     assert got == [s for _, s in cases]
