@@ -3,16 +3,21 @@
 The benchmark's windows of eight consecutive normalised words form a small hash table; every window
 of every training text is probed against it.  A window is first tried word by word against the hash set of
 the benchmark's words (a window with a foreign word cannot match), and what is left is joined as whole
-strings, so a hit is verified by the probe itself and no hash collision can pass.  Set and table are
-sent to every task only while the benchmark has at most ``MAX_BROADCAST_WINDOWS`` windows and
-``MAX_BROADCAST_WORDS`` words (both are counted first); beyond that every window goes to the same join,
-run as a shuffle join.
-
-Defined results: a null or word-less text has no words, no hits, and the digest of the empty string;
-an item without words never matches; an item of fewer than eight words is one window of its own
-length; equal windows of several items count for each of them; repeated document rows each give one
-row; an empty table on either side gives no hits.  Extra columns of the inputs are ignored (and kept
-by :func:`remove_leaks`).
+strings, so a hit is verified by the probe itself and no hash collision can pass.
+
+What is broadcast is counted first.  Up to ``MAX_BROADCAST_WINDOWS`` windows the table itself is sent.
+Beyond, 64-bit hashes of the windows are, ``MAX_BROADCAST_HASHES`` at a time; a window of a text whose hash
+none of them has is dropped where it stands, and only what is left is shuffled and joined as strings.  So
+the texts' windows never go through a shuffle, however large the benchmark.  The word set is used up to
+``MAX_BROADCAST_WORDS`` words; it saves time only.
+
+Rows are named by id and two hashes of the text, and equal ones counted, so that a task run again names
+them alike whatever order it reads them in.  Defined results: a null or word-less text has no words, no
+hits, and the digest of the empty string; a null doc_id stays null; an item without words or id never
+matches; an item of fewer than eight words is one window of its own length; ties (equal windows of several
+items) count for each of them; a very long text is scanned whole, its windows as rows of their own;
+repeated document rows each give one row; an empty table on either side gives no hits.  Extra columns of
+the inputs are ignored (and kept by :func:`remove_leaks`).
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ WINDOW = 8
 MIN_ITEMS = 2
 #: Broadcast only below this many windows (about 100 bytes each).
 MAX_BROADCAST_WINDOWS = 500_000
+#: Hashes sent at a time (about 25 bytes each).
+MAX_BROADCAST_HASHES = 4_000_000
 #: The word set is part of the plan, so it is sent only up to this many words (about 10 bytes each).
 MAX_BROADCAST_WORDS = 100_000
 _SEPARATORS = "".join(chr(i) for i in range(128) if not chr(i).isalnum() and chr(i) not in UPPER + LOWER)
@@ -69,40 +76,53 @@ def _candidates(words: Column, known: Column, width: int) -> Column:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
-    """One row per value of ``keys`` (columns of ``docs``): n_words, hit ranges and items.
+    """One row per value of ``keys`` (columns of ``docs``): copies, n_words, hit_positions and items.
 
-    A marker entry travels with each text's windows so that texts without hits keep their row; after
-    the probe only markers and hits are left to shuffle.
+    A marker for each row makes texts without hits keep theirs; it is never joined by shuffling.
     """
     table = item_windows(benchmark, window)
     counted = table.groupBy("width").count().collect()  # at most one row per width up to the window
-    widths = sorted({r["width"] for r in counted} | {window})
+    n_windows, widths = sum(r["count"] for r in counted), sorted({r["width"] for r in counted} | {window})
     words = docs.select(*keys, words_of(F.col("text")).alias("__w"))
-    known = None
-    if sum(r["count"] for r in counted) <= MAX_BROADCAST_WINDOWS:
-        table = F.broadcast(table)
-        vocabulary = benchmark.select(F.explode(words_of(F.col("text"))).alias("w")).distinct()
-        known = [r["w"] for r in vocabulary.limit(MAX_BROADCAST_WORDS + 1).collect()]
-    if known and len(known) <= MAX_BROADCAST_WORDS:
-        words = words.withColumn("__known", F.transform("__w", lambda w: w.isin(known)))
+    sized = [*keys, F.size("__w").alias("__n")]
+    vocabulary = benchmark.select(F.explode(words_of(F.col("text"))).alias("w")).distinct()
+    known = [r["w"] for r in vocabulary.limit(MAX_BROADCAST_WORDS + 1).collect()]
+    if len(known) <= MAX_BROADCAST_WORDS:
+        tried = words.withColumn("__known", F.transform("__w", lambda w: w.isin(known)) if known else F.transform("__w", lambda _: F.lit(False)))
         windows = [_candidates(F.col("__w"), F.col("__known"), k) for k in widths]
     else:
-        windows = [_windows(F.col("__w"), F.lit(k)) for k in widths]
-    marker = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("text")))
-    spread = words.select(*keys, F.size("__w").alias("__n"), F.explode(F.concat(marker, *windows)).alias("__win"))
-    hits = spread.select(*keys, "__n", F.col("__win.pos").alias("__pos"), F.col("__win.text").alias("window")).join(table, "window", "left")
-    hits = hits.where((F.col("__pos") < 0) | F.col("width").isNotNull())
-    found = F.when(F.col("__pos") >= 0, F.struct(F.col("__pos").alias("pos"), F.col("width").alias("width")))
-    grouped = hits.groupBy(*keys).agg(F.max("__n").alias("n_words"), F.collect_set(found).alias("ranges"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        tried, windows = words, [_windows(F.col("__w"), F.lit(k)) for k in widths]
+    if n_windows <= MAX_BROADCAST_WINDOWS:
+        marker = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("text")))
+        spread = tried.select(*sized, F.explode(F.concat(marker, *windows)).alias("__win"))
+        hits = _flat(spread, keys).join(F.broadcast(table), "window", "left").where((F.col("__pos") < 0) | F.col("width").isNotNull())
+    else:
+        spread = _flat(tried.select(*sized, F.explode(F.concat(*windows)).alias("__win")), keys).withColumn("__h", F.xxhash64("window"))
+        blocks, hashes = -(-n_windows // MAX_BROADCAST_HASHES), table.select(F.xxhash64("window").alias("__h"))
+        left = [spread.join(F.broadcast(hashes.where(F.pmod("__h", F.lit(blocks)) == b)), "__h", "left_semi") for b in range(blocks)]
+        found = reduce(DataFrame.unionByName, left).drop("__h").join(table, "window")
+        hits = found.unionByName(words.select(*sized, F.lit(-1).alias("__pos")), allowMissingColumns=True)
+    at = F.when(F.col("__pos") >= 0, F.struct(F.col("__pos").alias("pos"), F.col("width").alias("width")))
+    copies = F.sum((F.col("__pos") < 0).cast("long")).alias("copies")
+    grouped = hits.groupBy(*keys).agg(copies, F.max("__n").alias("n_words"), F.collect_set(at).alias("ranges"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["pos"], r["pos"] + r["width"] - 1))))
-    return grouped.select(*keys, F.col("n_words").cast("long").alias("n_words"), covered.alias("hit_positions"), F.sort_array("items").alias("items"))
+    return grouped.select(*keys, "copies", F.col("n_words").cast("long").alias("n_words"), covered.alias("hit_positions"), F.sort_array("items").alias("items"))
+
+
+def _flat(spread: DataFrame, keys: list[str]) -> DataFrame:
+    return spread.select(*keys, "__n", F.col("__win.pos").alias("__pos"), F.col("__win.text").alias("window"))
+
+
+def _text_hashes() -> list[Column]:
+    """128 bits that name a text."""
+    return [F.xxhash64("text").alias("__h1"), F.xxhash64(F.lit(1), "text").alias("__h2")]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    numbered = docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id())
-    out = scan(numbered, benchmark, ["__row", "doc_id"], window)
-    return out.select(
+    out = scan(docs.select("doc_id", "text", *_text_hashes()), benchmark, ["doc_id", "__h1", "__h2"], window)
+    rows = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(
         "doc_id", "n_words", F.size("hit_positions").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") >= min_items).alias("contaminated"),
     )
@@ -112,14 +132,15 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     """``docs`` without contaminated rows; where fewer items leak, their words are cut out.
 
     Texts without a hit come back unchanged.  Only rows with hits are joined back, by id and text
-    hash, so the join's small side holds leaking documents only.
+    hashes, so the join's small side holds leaking documents only.
     """
-    keyed = docs.select("text", F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"))
-    hits = scan(keyed, benchmark, ["__id", "__th"], window).where(F.size("hit_positions") > 0)
-    names = [fresh(f"__leak_{k}", docs.columns) for k in ("id", "th", "at", "items")]
-    hits = hits.select("__id", "__th", "hit_positions", F.size("items")).toDF(*names)
-    leak_id, leak_hash, leak_at, leak_items = (F.col(c) for c in names)
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(leak_id) & (F.xxhash64("text") == leak_hash), "left").where(leak_items.isNull() | (leak_items < min_items))
+    keyed = docs.select("text", F.col("doc_id").alias("__id"), *_text_hashes())
+    hits = scan(keyed, benchmark, ["__id", "__h1", "__h2"], window).where(F.size("hit_positions") > 0)
+    names = [fresh(f"__leak_{k}", docs.columns) for k in ("id", "h1", "h2", "at", "items")]
+    hits = hits.select("__id", "__h1", "__h2", "hit_positions", F.size("items")).toDF(*names)
+    leak_id, leak_h1, leak_h2, leak_at, leak_items = (F.col(c) for c in names)
+    same = F.col("doc_id").eqNullSafe(leak_id) & (F.xxhash64("text") == leak_h1) & (F.xxhash64(F.lit(1), "text") == leak_h2)
+    joined = docs.join(hits, same, "left").where(leak_items.isNull() | (leak_items < min_items))
     cut = F.when(leak_items.isNull(), F.col("text")).otherwise(_without(F.col("text"), leak_at))
     return joined.select(*((cut if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
