@@ -7,18 +7,23 @@ documents: the fixed ladder of cutoffs is walked from lenient to strict, and a s
 exact binomial test still shows that the share of good documents it would reject is below ``RISK``.  The
 scales don't look at those documents, and walking in a fixed order needs no correction, so only over
 the strata is the error ``DELTA`` divided (Bonferroni): with probability 1 - DELTA over the draw of labels
-no stratum loses more than ``RISK`` of its good documents that pass the base rule.  A stratum with fewer
-than :func:`least_labels` good documents can't be certified and rejects nothing.
+no stratum loses more than ``RISK`` of its good documents that pass the base rule.
+
+A stratum of fewer than :func:`least_labels` good documents can't be certified; it is merged with the
+smaller of its neighbours until each has enough or one is left.  That looks at numbers of labels only, so
+the guarantee holds for the merged strata.  With fewer than 149 good labels in all nothing is rejected.
 
 Defined results: a null or blank text has no words and fails the base rule; labels with a null id or
-null value teach nothing, repeated labels of a document count once; repeated document rows each give
-one row; without labels only the base rule acts; extra columns are ignored.
+null value teach nothing, repeated labels of a document count once; a tie (a scaled statistic on the
+cutoff) is kept; a very long text is counted whole, in the last stratum; repeated document rows each give
+one row; without labels only the base rule acts; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -70,9 +75,9 @@ def rules() -> dict[str, Column]:
     }
 
 
-def stratum() -> Column:
+def stratum(strata: tuple[int, ...] = STRATA) -> Column:
     out = F.lit(0)
-    for k, least in enumerate(STRATA):
+    for k, least in enumerate(strata):
         out = F.when(F.col("n_words") >= least, F.lit(k)).otherwise(out)
     return out
 
@@ -90,27 +95,36 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return float(min(1.0, np.exp(log_choose + i * math.log(p) + (n - i) * math.log1p(-p)).sum()))
 
 
-def certified_cutoffs(histogram: dict[tuple[int, str, int], int], names: list[str], risk: float = RISK, delta: float = DELTA) -> dict[tuple[int, str], float]:
-    """(stratum, rule) -> cutoff.  ``histogram`` counts good documents by stratum, rule and the number
-    of ladder steps whose cutoff their statistic lies above."""
-    level, part = delta / (len(STRATA) * len(names)), risk / len(names)
+def certified_cutoffs(histogram: dict[tuple[int, int], int], strata: int, risk: float = RISK, delta: float = DELTA) -> dict[int, float]:
+    """stratum -> cutoff.  ``histogram`` counts good documents by stratum and the number of ladder steps whose
+    cutoff their statistic lies above."""
     out = {}
-    for s in range(len(STRATA)):
-        for name in names:
-            counts = np.array([histogram.get((s, name, b), 0) for b in range(STEPS + 2)])
-            n = int(counts.sum())
-            above = np.cumsum(counts[::-1])[::-1]  # above[b]: rejected by at least b of the steps
-            for k in range(STEPS + 1):
-                rejected = int(above[STEPS + 1 - k])
-                if not n or rejected > n * part or binomial_cdf(rejected, n, part) > level:
-                    break
-                out[s, name] = LADDER[k]
+    for s in range(strata):
+        counts = np.array([histogram.get((s, b), 0) for b in range(STEPS + 2)])
+        n = int(counts.sum())
+        above = np.cumsum(counts[::-1])[::-1]  # above[b]: rejected by at least b of the steps
+        for k in range(STEPS + 1):
+            rejected = int(above[STEPS + 1 - k])
+            if not n or rejected > n * risk or binomial_cdf(rejected, n, risk) > delta / strata:
+                break
+            out[s] = LADDER[k]
     return out
 
 
-def least_labels(risk: float = RISK, delta: float = DELTA) -> int:
+def least_labels(risk: float = RISK, delta: float = DELTA, strata: int = len(STRATA)) -> int:
     """Good documents a stratum needs: with fewer, not even a cutoff that none of them exceeds is certified."""
-    return math.ceil(math.log(delta / len(STRATA)) / math.log1p(-risk))
+    return math.ceil(math.log(delta / strata) / math.log1p(-risk))
+
+
+def merged_strata(labels: list[int], risk: float = RISK, delta: float = DELTA, strata: tuple[int, ...] = STRATA) -> tuple[int, ...]:
+    """Lower ends of the strata after those with too few of the good ``labels`` were merged."""
+    ends, sizes = list(strata), list(labels)
+    while len(ends) > 1 and min(sizes) < least_labels(risk, delta, len(ends)):
+        k = sizes.index(min(sizes))
+        left = k if k and (k + 1 == len(sizes) or sizes[k - 1] <= sizes[k + 1]) else k + 1  # joins the one before it
+        sizes[left - 1 : left + 1] = [sizes[left - 1] + sizes[left]]
+        del ends[left]
+    return tuple(ends)
 
 
 def steps_above(x: Column) -> Column:
@@ -118,10 +132,10 @@ def steps_above(x: Column) -> Column:
     return F.when(x <= LADDER[-1], 0).otherwise(F.least(F.lit(STEPS), F.lit(STEPS) + F.ceil(F.log2(x) * 8))).cast("int")
 
 
-def scaled(scales: dict[tuple[int, str], float]) -> Column:
+def scaled(scales: dict[tuple[int, str], float], strata: tuple[int, ...]) -> Column:
     """The largest scaled statistic, times LEAST_SCALE (at most 1)."""
-    s, out = stratum(), F.lit(0.0)
-    for k in range(len(STRATA)):
+    s, out = stratum(strata), F.lit(0.0)
+    for k in range(len(strata)):
         out = F.when(s == k, F.greatest(*(x * (LEAST_SCALE / scales.get((k, r), 1.0)) for r, x in rules().items()))).otherwise(out)
     return out
 
@@ -135,36 +149,44 @@ def median_scales(histogram: dict[tuple[int, str, int], int]) -> dict[tuple[int,
     return out
 
 
-def fit_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[dict[tuple[int, str], float], dict[int, float]]:
-    """(stratum, rule) -> scale, from all documents without a good label, and stratum -> cutoff, from all
-    good documents (quality 1); of both, those that pass the base rule.
+@dataclass(frozen=True)
+class Cutoffs:
+    strata: tuple[int, ...]  # lower ends, in words
+    scales: dict[tuple[int, str], float]  # (stratum, rule)
+    cutoffs: dict[int, float]  # of the strata that reject at all
+
+    def rejected(self) -> Column:
+        """True where the largest scaled statistic lies above its stratum's cutoff (as counted on the labels)."""
+        s, above, out = stratum(self.strata), steps_above(scaled(self.scales, self.strata)), F.lit(False)
+        for k, cutoff in self.cutoffs.items():
+            out = out | ((s == k) & (above >= STEPS + 1 - LADDER.index(cutoff)))
+        return out
+
+
+def fit_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> Cutoffs:
+    """Scales from all documents without a good label, cutoffs from all good documents (quality 1); of both,
+    those that pass the base rule.
 
     Only histograms of strata x rules x steps come to the driver, whatever the number of documents.
     """
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     passed, statistics = counts.where(~base_failed()), rules()
-    rows = passed.join(good, "doc_id", "left_anti").select(stratum().alias("s"), F.explode(F.array(*(F.struct(F.lit(r).alias("r"), c.alias("x")) for r, c in statistics.items()))).alias("e"))
+    taught = passed.join(good, "doc_id", "left_semi")
+    sizes = {x["s"]: x["count"] for x in taught.groupBy(stratum().alias("s")).count().collect()}
+    strata = merged_strata([sizes.get(k, 0) for k in range(len(STRATA))], risk, delta)
+    s = stratum(strata).alias("s")
+    rows = passed.join(good, "doc_id", "left_anti").select(s, F.explode(F.array(*(F.struct(F.lit(r).alias("r"), c.alias("x")) for r, c in statistics.items()))).alias("e"))
     found = rows.groupBy("s", F.col("e.r").alias("r"), steps_above(F.col("e.x")).alias("b")).count().collect()
     scales = median_scales({(x["s"], x["r"], x["b"]): x["count"] for x in found})
-    found = passed.join(good, "doc_id", "left_semi").groupBy(stratum().alias("s"), steps_above(scaled(scales)).alias("b")).count().collect()
-    cutoffs = certified_cutoffs({(x["s"], "any", x["b"]): x["count"] for x in found}, ["any"], risk, delta)
-    return scales, {s: cutoff for (s, _), cutoff in cutoffs.items()}
-
-
-def rejected(scales: dict[tuple[int, str], float], cutoffs: dict[int, float]) -> Column:
-    """True where the largest scaled statistic lies above its stratum's cutoff (as counted on the labels)."""
-    s, above, out = stratum(), steps_above(scaled(scales)), F.lit(False)
-    for k, cutoff in cutoffs.items():
-        out = out | ((s == k) & (above >= STEPS + 1 - LADDER.index(cutoff)))
-    return out
+    found = taught.groupBy(s, steps_above(scaled(scales, strata)).alias("b")).count().collect()
+    return Cutoffs(strata, scales, certified_cutoffs({(x["s"], x["b"]): x["count"] for x in found}, len(strata), risk, delta))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Counts, base_failed and kept for every document row."""
     counts = checkpointed(document_counts(docs))
-    scales, cutoffs = fit_cutoffs(counts, labels, risk, delta)
-    failed = base_failed()
+    rejected, failed = fit_cutoffs(counts, labels, risk, delta).rejected(), base_failed()
     return counts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~rejected(scales, cutoffs)).alias("kept"),
+        failed.alias("base_failed"), (~failed & ~rejected).alias("kept"),
     )
