@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import new_path as checkpoint_folder
+from ..plans.checkpoints import shared_folder
+
 #: Words of several contracts: runs of anything but ASCII white space.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,25 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared(spark: SparkSession) -> str:
-    """The session's checkpoint folder.  Only where none is set and all tasks run in this process (as in
-    tests) a temporary one is made; on a cluster that is an error, as executors couldn't read it."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, its lineage cut.
 
     The shuffle files of that run go as soon as it is written.
     """
     spark = df.sparkSession
-    _shared(spark)
+    shared_folder(spark)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -71,11 +59,6 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """A new path for tables in the shared checkpoint folder."""
-    return f"{_shared(spark)}/{uuid.uuid4().hex}"
-
-
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` in batches of about BATCH_BYTES.
 
@@ -118,3 +101,8 @@ def fresh(name: str, taken: list[str]) -> str:
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
+
+
+__all__ = [
+    "BLANKS", "LOWER", "LOWER_BYTES", "UPPER", "checkpoint_folder", "checkpointed", "delete", "drop_checkpoint", "fold", "fresh", "learning_rows", "mapped", "sigmoid", "table", "texts",
+]

@@ -9,12 +9,14 @@ when that cross-entropy is above what ``CALIBRATION`` of the winner's own calibr
 The models are fitted on about ``DOCS_PER_LANG`` rows per language, drawn by the hash of id and text, rows
 equal in both counting once (a documented bound; nine tenths train, one tenth calibrates).  Where a language has fewer than
 ``FEW_ROWS`` drawn rows, those that calibrate train too, after the cutoffs were taken from models without
-them.  n-grams are counted on the executors and only distinct ones reach the driver.  Every text is
+them.  n-grams are counted on the executors and only distinct ones reach the driver: at most the 4-grams of
+letters that 400 rows a language hold, whose number levels off at some hundred thousand.  Every text is
 scored whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without learning rows
-every text is ``und``; null ids or languages teach nothing; repeated rows each give one row; extra
-columns are ignored.
+every text is ``und``; null ids or languages teach nothing; of languages with equal cross-entropy the
+first in alphabetical order wins; a very long text is scored whole; repeated rows each give one row; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ than the largest length are cut into pieces, so every token is packed exactly on
 Rows are dealt by the hash of a row number into groups of about ``ROWS_PER_GROUP``, each packed by one
 task with numpy; a group's waste is a few open bins.  Defined results: a null or empty text is one piece
 of one token (the end mark); repeated rows are packed as often as they occur; an empty table gives no
-bins; extra columns are ignored.
+bins; ties (pieces of one length, bins with equally much room, lengths of equal price) go by the row's number, the
+bin opened last and the shorter length; a null doc_id is packed under null; extra columns are ignored.
 """
 
 from __future__ import annotations

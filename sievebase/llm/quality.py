@@ -7,8 +7,10 @@ factor.  Class counts, sums and outer products are summed over *all* learning ro
 a few hundred numbers reach the driver, so no sample is taken.
 
 Defined results: a null or blank text is scored as the empty text; null ids or labels teach nothing;
-without learning rows of both classes every score is 0.5 and nothing is filtered; repeated rows each give one row; extra
-columns are ignored by :func:`score` and kept by :func:`keep_good`.
+without learning rows of both classes every score is 0.5 and nothing is filtered; a tie (a score on the
+threshold) is predicted 1 and kept; a very long text is counted whole; repeated rows each give one row and,
+if labelled, teach as often; an empty table gives no rows; extra columns are ignored by :func:`score` and
+kept by :func:`keep_good`.
 """
 
 from __future__ import annotations

@@ -15,9 +15,10 @@ fewer than k edges, never all pairs), which keeps every connected component whol
 fingerprint and count as one vertex, however many there are.
 
 Defined results: a null or word-less text has fingerprint 0 and is linked like any other; fewer than
-three words make one shingle; repeated rows each give one row; a null doc_id never names a component
-(a component of null ids only has a null component_id); extra columns are ignored by :func:`group` and
-kept by :func:`keep_one`.
+three words make one shingle; a tie (a bit set in exactly half the hashes) is 0; a very long text is hashed
+whole, in runs of shingles; repeated rows each give one row; a null doc_id never names a component (a
+component of null ids only has a null component_id); an empty table gives no rows; extra columns are
+ignored by :func:`group` and kept by :func:`keep_one`.
 """
 
 from __future__ import annotations

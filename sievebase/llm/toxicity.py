@@ -11,8 +11,10 @@ from all learning rows, positives among them, as the risk's ``E_u`` is over the
 These bounds are the only sample; the prior and the scores cover all rows.
 
 Defined results: a null text is scored as the empty text; null ids or labels teach nothing; without a
-positive learning row every score is the prior (0 without labels); repeated rows each give one row;
-extra columns are ignored by :func:`score` and kept by :func:`drop_toxic`.
+positive learning row every score is the prior (0 without labels); a tie (a score on the threshold) is
+predicted 1 and dropped, stems of equal gain are taken in alphabetical order; a very long text is scored
+whole; repeated rows each give one row; an empty table gives no rows; extra columns are ignored by
+:func:`score` and kept by :func:`drop_toxic`.
 """
 
 from __future__ import annotations

@@ -154,6 +154,39 @@ def test_long_texts_are_cut_into_whole_pieces(odd):
     assert got[got.doc_id == 2].n_tokens.tolist() == [1] and len(got[got.doc_id == 1]) == 2
 
 
+def test_best_fit_equals_brute_force():
+    rng, lengths = np.random.default_rng(7), (8, 16, 40)
+    for _ in range(30):
+        sizes = rng.integers(1, 41, int(rng.integers(1, 60))).tolist()
+        bins, out = [], {}
+        for rank, i in enumerate(sorted(range(len(sizes)), key=lambda i: -sizes[i])):
+            rest = sorted(sizes)[: len(sizes) - rank - 1]
+            fits = [b for b in bins if b["c"] - b["n"] >= sizes[i]]
+            if fits:
+                least = min(b["c"] - b["n"] for b in fits)
+                own = [b for b in fits if b["c"] - b["n"] == least]
+            else:
+
+                def per_token(c):
+                    held = sum(x for x in rest if x <= c - sizes[i])
+                    return packing.price(c) / (sizes[i] + min(c - sizes[i], held))
+
+                own = [{"c": min((c for c in lengths if c >= sizes[i]), key=per_token), "n": 0}]
+                bins += own
+            out[i] = {id(b) for b in own}
+            # equally tight bins are alike: follow the operator's choice among them
+            placed = packing.best_fit(sizes, lengths)
+            chosen = next((b for b in own if b.get("name") in (None, placed[i][0])), None)
+            assert chosen is not None and chosen["n"] == placed[i][1]
+            chosen["name"] = placed[i][0]
+            chosen["n"] += sizes[i]
+        assert len({p[0] for p in packing.best_fit(sizes, lengths)}) == len(bins)
+
+
+def test_packing_an_empty_table(empty):
+    assert packing.pack(empty).count() == 0 and packing.pack(empty).columns[0] == "doc_id"
+
+
 def test_best_fit_takes_the_tightest_bin():
     placed = packing.best_fit([10, 9, 6, 4, 1], (16,))
     bins = defaultdict(list)
@@ -199,10 +232,10 @@ def test_certified_cutoffs_hold_the_risk():
     for _ in range(200):
         x = rng.beta(1, 30, 4000)
         steps = Counter(int(sum(x_ > c for c in rules.LADDER)) for x_ in x[:2000])
-        cut = rules.certified_cutoffs({(0, "r", b): n for b, n in steps.items()}, ["r"], risk=0.05, delta=0.1)[0, "r"]
+        cut = rules.certified_cutoffs({(0, b): n for b, n in steps.items()}, 1, risk=0.05, delta=0.1)[0]
         losses.append(float((rng.beta(1, 30, 20_000) > cut).mean()))
     assert np.mean(np.array(losses) > 0.05) <= 0.1 and np.mean(losses) > 0.01
-    assert rules.certified_cutoffs({}, ["r"]) == {}
+    assert rules.certified_cutoffs({}, 4) == {}
     assert abs(rules.binomial_cdf(2, 10, 0.3) - 0.3827827864) < 1e-9
 
 
@@ -220,16 +253,54 @@ def test_rules_reject_what_good_documents_never_show(spark):
 def test_rules_act_on_a_few_hundred_labels(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
-    assert rules.least_labels() == 217
+    assert rules.least_labels() == 217 and rules.least_labels(strata=1) == 149
     plain = [(i, " ".join(word() for _ in range(80))) for i in range(500)]
     bad = [(10_000 + i, " ".join(word() + "***" for _ in range(80))) for i in range(50)]
     docs = spark.createDataFrame(plain + bad, "doc_id long, text string")
-    for n, acts in ((300, True), (216, False)):
+    for n, acts in ((300, True), (149, True), (148, False)):  # strata without labels are merged with the one that has them
         labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
         got = rows_of(rules.judge(docs, labels)).set_index("doc_id").kept
         assert (not got[got.index >= 10_000].any()) == acts and got[got.index < 10_000].mean() > 0.95
 
 
+def test_strata_with_few_labels_are_merged():
+    assert rules.merged_strata([739, 1408, 824, 272]) == rules.STRATA
+    assert rules.merged_strata([77, 139, 85, 26]) == (0,)
+    assert rules.merged_strata([500, 10, 300, 400]) == (0, 150, 1000) and rules.merged_strata([500, 400, 300, 10]) == (0, 150, 400)
+    assert rules.merged_strata([10, 500, 300, 400]) == (0, 400, 1000) and rules.merged_strata([0, 0, 0, 0]) == (0,)
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pick = lambda: rng.choice(["abc", "de", "fghij", "Kl", "mno!", "p*q", "r", "st", "uvw", "xyz"])
+    texts = [(i, " ".join(pick() for _ in range(int(rng.integers(40, 300)))) + (" $$$ ##" * int(rng.integers(0, 4)))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(390)], "doc_id long, quality int, toxic int")
+    fitted = rules.fit_cutoffs(rules.document_counts(docs), labels, 0.1)
+    got = rows_of(rules.judge(docs, labels, 0.1)).set_index("doc_id")
+
+    def statistics(text):
+        words = text.split()
+        n, chars, symbols, dup, repeat = brute_counts(text)
+        return {"symbols": symbols / chars, "capitals": sum(c.isupper() for c in text) / chars, "bangs": min(1, text.count("!") / n), "repeats": repeat / n, "stutter": sum(a == b for a, b in zip(words, words[1:])) / n, "dup_lines": min(1, 10 * dup / n), "long_words": min(1, chars / 30 / n)}
+
+    largest, failed, part = {}, {}, {}
+    for i, text in texts:
+        n, _, _, _, repeat = brute_counts(text)
+        failed[i], part[i] = n < 50 or 100 * repeat > 50 * n, max(k for k, least in enumerate(fitted.strata) if n >= least)
+        largest[i] = max(x * rules.LEAST_SCALE / fitted.scales.get((part[i], r), 1.0) for r, x in statistics(text).items())
+    assert fitted.cutoffs and {i: bool(k) for i, k in got.kept.items()} == {i: not failed[i] and not (part[i] in fitted.cutoffs and largest[i] > fitted.cutoffs[part[i]]) for i, _ in texts}
+    for s in range(len(fitted.strata)):  # the last step that the exact test allows
+        own = [largest[i] for i, _ in texts if i < 390 and i % 3 > 0 and part[i] == s and not failed[i]]
+        allowed = 0
+        for cutoff in rules.LADDER:
+            k = sum(x > cutoff for x in own)
+            if not own or k > len(own) * 0.1 or rules.binomial_cdf(k, len(own), 0.1) > rules.DELTA / len(fitted.strata):
+                break
+            allowed = cutoff
+        assert fitted.cutoffs.get(s, 0) == allowed
+
+
 def test_cutoffs_act_on_the_drivers_documents(spark):
     """Half the labels set the cutoffs; on the other half few good documents are lost and most bad ones go."""
     sf = "/root/testdata/sf0.1"
@@ -256,6 +327,27 @@ def test_quality_on_held_out_labels(spark):
     assert (m.predicted == good).mean() > 0.95
 
 
+def test_quality_scores_equal_brute_force(spark, docs, sf_dir):
+    known = pd.read_parquet(f"{sf_dir}/labels.parquet").set_index("doc_id").quality
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+    def features(text):
+        words, (n, chars, symbols, dup, repeat) = text.split(" ") and re.findall(r"[^\x20\x09-\x0D]+", text), brute_counts(text)
+        share = lambda a, b: min(a / max(b, 1), 4) ** 0.5
+        count = lambda some: sum(text.count(c) for c in some)
+        return [
+            np.log1p(n), np.log(max(chars, 1) / max(n, 1)), share(symbols, chars), share(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars), share(count("0123456789"), chars), share(count("!"), n),
+            share(count(".,;:?"), n), share(repeat, n), share(sum(a == b for a, b in zip(words, words[1:])), n), share(dup, n), np.log(max(len(set(words)), 1) / max(n, 1)),
+        ]
+
+    x = {i: np.array(features(t)) for i, t in texts.items()}
+    own = {c: np.array([x[i] for i in x if i in known.index and known[i] == c and zlib.crc32(str(i).encode()) % 4 != 2]) for c in (0, 1)}
+    model = quality.Discriminant({c: (len(a), a.sum(0), a.T @ a) for c, a in own.items()})
+    got = rows_of(quality.score(docs, common.table(spark, sf_dir, "labels"))).set_index("doc_id").score
+    want = dict(zip(x, model.score(np.array(list(x.values()))), strict=True))
+    assert got.keys().tolist() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
 def test_moments_give_the_same_densities_as_numpy():
     rng = np.random.default_rng(3)
     xs = {0: rng.normal(0, 1, (400, 3)) @ rng.normal(0, 1, (3, 3)), 1: rng.normal(1, 1, (300, 3))}
@@ -278,6 +370,21 @@ def test_toxicity_on_held_out_labels(spark):
     assert m.predicted[toxic].mean() > 0.5 and m.predicted[~toxic].mean() < 0.03
 
 
+def test_toxicity_scores_equal_brute_force(spark, docs, sf_dir):
+    known = common.table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, known)
+    got = rows_of(toxicity.score(docs, known)).set_index("doc_id").score
+    for r in docs.select("doc_id", "text").collect():
+        words = [w for w in re.findall(r"\w+", r["text"].lower()) for w in re.findall(r"[^\W\d_]+", w)]
+        x = np.zeros(len(model.columns))
+        for w in words:
+            for s in {w, *(w[:k] + "*" for k in range(3, 8) if len(w) > k)}:
+                if s in model.columns:
+                    x[model.columns[s]] += 1
+        z = np.minimum(3, np.log1p(300 * x / (len(words) + 100))) @ model.weights + model.bias
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
 def test_a_repeated_id_does_not_fill_the_sample(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_POSITIVE", 20)
     monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 30)
@@ -577,7 +684,9 @@ def test_short_items_and_both_join_paths(spark, monkeypatch):
     want = sorted((i, *brute_hits(t, items)) for i, t in texts)
     assert sorted(map(tuple, decontam.decontaminate(docs, bench).collect())) == want
     monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 0)
-    assert sorted(map(tuple, decontam.decontaminate(docs, bench).collect())) == want
+    for name, most in (("MAX_BROADCAST_HASHES", 10**6), ("MAX_BROADCAST_HASHES", 2), ("MAX_BROADCAST_WORDS", 3)):
+        monkeypatch.setattr(decontam, name, most)
+        assert sorted(map(tuple, decontam.decontaminate(docs, bench).collect())) == want
     monkeypatch.undo()
     left = {r["doc_id"]: r["text"] for r in decontam.remove_leaks(docs, bench).collect()}
     assert 1 not in left and 6 not in left and left[2] == "x z" and left[3] is None and left[4] == ""
@@ -592,9 +701,11 @@ def test_removing_leaks_leaves_none(spark, docs, sf_dir):
     assert all(before[r["doc_id"]] == r["text"] for r in clean.collect() if r["doc_id"] not in hit)
 
 
-def test_decontamination_is_native(spark, docs, sf_dir):
-    plan = decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan) and "BroadcastHashJoin" in plan
+def test_decontamination_is_native(spark, docs, sf_dir, monkeypatch):
+    for most in (decontam.MAX_BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", most)
+        plan = decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan) and "BroadcastHashJoin" in plan
 
 
 # --- pages -----------------------------------------------------------------------------------------
