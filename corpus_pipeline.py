@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievebase.llm import decontam, packing, quality, simhash, toxicity
-from sievebase.llm.common import checkpoint_folder, table
+from sievebase.llm.common import checkpoint_folder, delete, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is a table in the shared checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's result is a table in the shared checkpoint folder, deleted when
+    the next one has been written (the last stage still reads the one before it)."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = checkpoint_folder(spark)
     for name, stage in STAGES[:-1]:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
