@@ -145,7 +145,11 @@ class FileDef:
         return replace(self, frame=self.frame.drop(name), fields={k: v for k, v in self.fields.items() if k != name}, entries=entries)
 
     def redefine(self, new: Field) -> "FileDef":
-        """Changes a field's attributes; of storage and index only one at a time."""
+        """Changes a field's attributes; of storage and index only one at a time.
+
+        A visible field that becomes invisible leaves its values in the index only, one entry for each
+        value of a record; an invisible one that becomes visible gets its values from there, in order.
+        """
         from pyspark.sql import functions as F
 
         from ..functions.values import num_or_zero, num_to_str
@@ -153,6 +157,8 @@ class FileDef:
         old = self.field(new.name)
         if (old.storage != new.storage) + (old.index != new.index) > 1:
             raise CatalogError("only one large change at a time")
+        if "INVISIBLE" in (old.storage, new.storage) and old.storage != new.storage:
+            return self._hidden(new) if new.storage == "INVISIBLE" else self._shown(new)
         frame = self.frame
         convert = None
         if old.storage == "STRING" and new.storage == "FLOAT":
@@ -163,3 +169,34 @@ class FileDef:
             column = F.col(f"`{new.name}`")
             frame = frame.withColumn(new.name, F.transform(column, convert) if old.multi else convert(column))
         return replace(self, frame=frame, fields={**self.fields, new.name: new})
+
+    def _hidden(self, new: Field) -> "FileDef":
+        from pyspark.sql import functions as F
+
+        from ..functions.values import num_to_str
+
+        kind = self.frame.schema[new.name].dataType
+        multi = isinstance(kind, T.ArrayType)
+        numeric = isinstance(kind.elementType if multi else kind, T.NumericType)
+        c = F.col(f"`{new.name}`")
+        rows = self.frame.select(RECNUM, (F.explode(F.array_distinct(c)) if multi else c).alias("value")).where("value IS NOT NULL")
+        value = num_to_str(F.col("value")) if numeric else F.col("value").cast("string")
+        own = rows.select(F.lit(new.name).alias("field"), value.alias("value"), RECNUM)
+        entries = own if self.entries is None else self.entries.select("field", "value", RECNUM).unionByName(own)
+        return replace(self, frame=self.frame.drop(new.name), fields={**self.fields, new.name: new}, entries=entries)
+
+    def _shown(self, new: Field) -> "FileDef":
+        from pyspark.sql import functions as F
+
+        from ..functions.values import num_or_zero
+
+        own = None if self.entries is None else self.entries.where(F.col("field") == new.name)
+        rest = None if self.entries is None else self.entries.where(F.col("field") != new.name)
+        bare = replace(self, entries=rest, fields={k: f for k, f in self.fields.items() if k != new.name})
+        if own is None:
+            return bare.define(new)
+        value = num_or_zero(F.col("value")) if new.storage == "FLOAT" else F.col("value")
+        values = own.groupBy(RECNUM).agg(F.sort_array(F.collect_list(value)).alias("_values"))
+        column = F.col("_values") if new.multi else F.get(F.col("_values"), F.lit(0))
+        frame = self.frame.join(values, RECNUM, "left").select(*self.frame.columns, column.alias(new.name))
+        return replace(bare, frame=frame, fields={**bare.fields, new.name: new})

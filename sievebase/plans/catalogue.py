@@ -630,6 +630,19 @@ def redefine_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(numeric_text(spark, sf_dir).redefine(Field("TXT", "FLOAT", "CHAR")).frame, "TXT")
 
 
+@register("redefine_invisible", "SELECT p_partkey AS id, p_name FROM part WHERE p_size = 7")
+def redefine_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = context(spark, sf_dir, "part")
+    return shown(c.with_file(c.members[0].redefine(Field("P_SIZE", "INVISIBLE", "NUM"))).find_filed("P_SIZE", 7), "P_NAME")
+
+
+@register("redefine_visible", f"WITH {ORDERS_MV_SQL} SELECT id, array_to_string(list_sort(list_distinct(flag)), '') AS flags FROM mv")
+def redefine_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = orders_mv(spark, sf_dir)
+    back = f.redefine(Field("FLAG", "INVISIBLE", "CHAR")).redefine(Field("FLAG", "STRING", "CHAR", multi=True))
+    return back.frame.select(F.col(RECNUM).alias("id"), F.array_join("FLAG", "").alias("flags"))
+
+
 @register("rename_delete_field", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS title FROM nation")
 def rename_delete_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(file(spark, sf_dir, "nation").rename("N_NAME", "TITLE").delete("N_REGIONKEY").frame, "TITLE")
