@@ -823,6 +823,47 @@ def initialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleared.frame.agg(F.count("*").cast("int").alias("n")).withColumn("n_fields", F.lit(len(cleared.fields)))
 
 
+#: What the engine refuses, by name.
+_REFUSED = ("a bad lock", "a file that is open", "a find of values by EQ", "a group without an update file", "a pattern on a numeric index", "a scan beyond MBSCAN", "a set of another context", "a sort by an invisible field", "a sort by one field twice", "a sort without keys", "an update of a read-only file")
+
+
+@register("refusals", f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, true)' for x in _REFUSED)}) AS t(what, refused)")
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dataclasses import replace
+
+    from ..operators.context import Engine
+    from ..operators.predicate import PredicateError
+    from ..operators.sets import SetError
+    from .catalog import CatalogError
+
+    engine = Engine(spark)
+    engine.allocate(file(spark, sf_dir, "part", index={"P_TYPE": "NONE"}).define(Field("MARK", "INVISIBLE", "CHAR")))
+    engine.allocate(file(spark, sf_dir, "nation"))
+    engine.create_group("BOTH", ["PART", "NATION"])
+    c, nations = engine.open("PART"), engine.open("NATION")
+    attempts = {
+        "a bad lock": lambda: c.find("P_SIZE = 7", lock="SOME"), "a file that is open": lambda: engine.free("PART"), "a find of values by EQ": lambda: c.find_values("P_SIZE", "EQ", 7),
+        "a group without an update file": lambda: engine.open("GROUP BOTH").store_record([("P_NAME", "x")]), "a pattern on a numeric index": lambda: c.find_values("P_SIZE", "LIKE", "1*"),
+        "a scan beyond MBSCAN": lambda: replace(c, mbscan=10).find("P_TYPE = X"), "a set of another context": lambda: c.find(in_set(nations.find())), "a sort by an invisible field": lambda: c.find().sort("MARK"),
+        "a sort by one field twice": lambda: c.find().sort("P_SIZE", SortKey("P_SIZE", descending=True)), "a sort without keys": lambda: c.find().sort(), "an update of a read-only file": lambda: replace(c, read_only=True).store_record([("P_NAME", "x")]),
+    }
+
+    def refused(attempt: Callable) -> bool:
+        try:
+            attempt()
+        except (CatalogError, PredicateError, SetError):
+            return True
+        return False
+
+    return spark.createDataFrame([(what, refused(attempt)) for what, attempt in attempts.items()], "what string, refused boolean")
+
+
+@register("locked_found_set", "SELECT count(*) AS n, 'EXCL' AS lock, 'NONE' AS released FROM nation")
+def locked_found_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = context(spark, sf_dir, "nation").find(lock="EXCL")
+    return found.count().select("n", F.lit(found.lock).alias("lock"), F.lit(found.unlock().lock).alias("released"))
+
+
 @register("parameters_view", "SELECT * FROM (VALUES ('MAXRECNO', '16777215'), ('MBSCAN', '500'), ('STRICTNUM', '0')) AS t(name, value)")
 def parameters_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     parameters = admin.Parameters()
