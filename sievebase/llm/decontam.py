@@ -11,8 +11,8 @@ none of them has is dropped where it stands, and only what is left is shuffled a
 the texts' windows never go through a shuffle, however large the benchmark.  The word set is used up to
 ``MAX_BROADCAST_WORDS`` words; it saves time only.
 
-Rows are named by id and two hashes of the text, and equal ones counted, so that a task run again names
-them alike whatever order it reads them in.  Defined results: a null or word-less text has no words, no
+Rows are named by id and two hashes of the text, and equal ones counted by partition, so that a task run
+again names them alike whatever order it reads them in.  Defined results: a null or word-less text has no words, no
 hits, and the digest of the empty string; a null doc_id stays null; an item without words or id never
 matches; an item of fewer than eight words is one window of its own length; ties (equal windows of several
 items) count for each of them; a very long text is scanned whole, its windows as rows of their own;
@@ -76,15 +76,16 @@ def _candidates(words: Column, known: Column, width: int) -> Column:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
-    """One row per value of ``keys`` (columns of ``docs``): copies, n_words, hit_positions and items.
+    """Rows of ``keys`` (columns of ``docs``), copies, n_words, hit_positions and items: one for each value of
+    the keys in each partition of ``docs``, so that a row with very many copies is still several.
 
-    A marker for each row makes texts without hits keep theirs; it is never joined by shuffling.
+    A marker for each row makes texts without hits keep theirs.
     """
     table = item_windows(benchmark, window)
     counted = table.groupBy("width").count().collect()  # at most one row per width up to the window
     n_windows, widths = sum(r["count"] for r in counted), sorted({r["width"] for r in counted} | {window})
-    words = docs.select(*keys, words_of(F.col("text")).alias("__w"))
-    sized = [*keys, F.size("__w").alias("__n")]
+    words = docs.select(*keys, F.spark_partition_id().alias("__part"), words_of(F.col("text")).alias("__w"))
+    sized = [*keys, "__part", F.size("__w").alias("__n")]
     vocabulary = benchmark.select(F.explode(words_of(F.col("text"))).alias("w")).distinct()
     known = [r["w"] for r in vocabulary.limit(MAX_BROADCAST_WORDS + 1).collect()]
     if len(known) <= MAX_BROADCAST_WORDS:
@@ -92,25 +93,34 @@ def scan(docs: DataFrame, benchmark: DataFrame, keys: list[str], window: int = W
         windows = [_candidates(F.col("__w"), F.col("__known"), k) for k in widths]
     else:
         tried, windows = words, [_windows(F.col("__w"), F.lit(k)) for k in widths]
+    copies = F.sum((F.col("__pos") < 0).cast("long")).alias("copies")
     if n_windows <= MAX_BROADCAST_WINDOWS:
         marker = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("text")))
         spread = tried.select(*sized, F.explode(F.concat(marker, *windows)).alias("__win"))
-        hits = _flat(spread, keys).join(F.broadcast(table), "window", "left").where((F.col("__pos") < 0) | F.col("width").isNotNull())
+        hits = _flat(spread, [*keys, "__part", "__n"]).join(F.broadcast(table), "window", "left").where((F.col("__pos") < 0) | F.col("width").isNotNull())
+        grouped = hits.groupBy(*keys, "__part").agg(copies, F.max("__n").alias("n_words"), *_found())
     else:
-        spread = _flat(tried.select(*sized, F.explode(F.concat(*windows)).alias("__win")), keys).withColumn("__h", F.xxhash64("window"))
+        spread = _flat(tried.select(*keys, F.explode(F.concat(*windows)).alias("__win")), keys).withColumn("__h", F.xxhash64("window"))
         blocks, hashes = -(-n_windows // MAX_BROADCAST_HASHES), table.select(F.xxhash64("window").alias("__h"))
         left = [spread.join(F.broadcast(hashes.where(F.pmod("__h", F.lit(blocks)) == b)), "__h", "left_semi") for b in range(blocks)]
-        found = reduce(DataFrame.unionByName, left).drop("__h").join(table, "window")
-        hits = found.unionByName(words.select(*sized, F.lit(-1).alias("__pos")), allowMissingColumns=True)
-    at = F.when(F.col("__pos") >= 0, F.struct(F.col("__pos").alias("pos"), F.col("width").alias("width")))
-    copies = F.sum((F.col("__pos") < 0).cast("long")).alias("copies")
-    grouped = hits.groupBy(*keys).agg(copies, F.max("__n").alias("n_words"), F.collect_set(at).alias("ranges"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        found = reduce(DataFrame.unionByName, left).join(table, "window").groupBy(*keys).agg(*_found())
+        sizes = words.select(*sized).groupBy(*keys, "__part").agg(F.count("*").alias("copies"), F.max("__n").alias("n_words"))
+        own, none = found.toDF(*(f"{k}_" for k in keys), "ranges", "items"), F.array()
+        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys))
+        joined = sizes.join(own, same, "left").drop(*(f"{k}_" for k in keys))
+        grouped = joined.withColumns({"ranges": F.coalesce("ranges", none.cast("array<struct<pos:int,width:int>>")), "items": F.coalesce("items", none.cast("array<string>"))})
     covered = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["pos"], r["pos"] + r["width"] - 1))))
     return grouped.select(*keys, "copies", F.col("n_words").cast("long").alias("n_words"), covered.alias("hit_positions"), F.sort_array("items").alias("items"))
 
 
-def _flat(spread: DataFrame, keys: list[str]) -> DataFrame:
-    return spread.select(*keys, "__n", F.col("__win.pos").alias("__pos"), F.col("__win.text").alias("window"))
+def _flat(spread: DataFrame, columns: list[str]) -> DataFrame:
+    return spread.select(*columns, F.col("__win.pos").alias("__pos"), F.col("__win.text").alias("window"))
+
+
+def _found() -> list[Column]:
+    """The distinct ranges of words that are hit, and the items that hit them."""
+    at = F.when(F.col("__pos") >= 0, F.struct(F.col("__pos").alias("pos"), F.col("width").alias("width")))
+    return [F.collect_set(at).alias("ranges"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")]
 
 
 def _text_hashes() -> list[Column]:
@@ -137,7 +147,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     keyed = docs.select("text", F.col("doc_id").alias("__id"), *_text_hashes())
     hits = scan(keyed, benchmark, ["__id", "__h1", "__h2"], window).where(F.size("hit_positions") > 0)
     names = [fresh(f"__leak_{k}", docs.columns) for k in ("id", "h1", "h2", "at", "items")]
-    hits = hits.select("__id", "__h1", "__h2", "hit_positions", F.size("items")).toDF(*names)
+    hits = hits.dropDuplicates(["__id", "__h1", "__h2"]).select("__id", "__h1", "__h2", "hit_positions", F.size("items")).toDF(*names)
     leak_id, leak_h1, leak_h2, leak_at, leak_items = (F.col(c) for c in names)
     same = F.col("doc_id").eqNullSafe(leak_id) & (F.xxhash64("text") == leak_h1) & (F.xxhash64(F.lit(1), "text") == leak_h2)
     joined = docs.join(hits, same, "left").where(leak_items.isNull() | (leak_items < min_items))

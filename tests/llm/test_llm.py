@@ -679,16 +679,19 @@ def brute_hits(text, items):
 
 def test_short_items_and_both_join_paths(spark, monkeypatch):
     items = [(1, "one two"), (2, "Two three-four!"), (10, "a b c d e f g h i j"), (11, None), (12, "..."), (3, "É one")]
-    texts = [(1, "zero ONE two three four five"), (2, "x a b c d e f g h i z"), (3, None), (4, "one, two; one two"), (5, "É one é one"), (6, "b c d e f g h i j and one two"), (6, "b c d e f g h i j and one two")]
-    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = sorted((i, *brute_hits(t, items)) for i, t in texts)
-    assert sorted(map(tuple, decontam.decontaminate(docs, bench).collect())) == want
+    texts = [(1, "zero ONE two three four five"), (2, "x a b c d e f g h i z"), (3, None), (4, "one, two; one two"), (5, "É one é one"), (6, "b c d e f g h i j and one two"), (6, "b c d e f g h i j and one two"), (None, "zero three four"), (None, "zero three four"), (2, "x a b c d e f g h i z"), (None, None)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    by_id = lambda rows: sorted(((-1 if r[0] is None else r[0], *r[1:]) for r in rows))
+    want = by_id((i, *brute_hits(t, items)) for i, t in texts)
+    assert by_id(map(tuple, decontam.decontaminate(docs, bench).collect())) == want
     monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 0)
     for name, most in (("MAX_BROADCAST_HASHES", 10**6), ("MAX_BROADCAST_HASHES", 2), ("MAX_BROADCAST_WORDS", 3)):
         monkeypatch.setattr(decontam, name, most)
-        assert sorted(map(tuple, decontam.decontaminate(docs, bench).collect())) == want
+        assert by_id(map(tuple, decontam.decontaminate(docs, bench).collect())) == want
     monkeypatch.undo()
-    left = {r["doc_id"]: r["text"] for r in decontam.remove_leaks(docs, bench).collect()}
+    cleaned = decontam.remove_leaks(docs, bench)
+    assert sorted(r["doc_id"] or -1 for r in cleaned.collect()) == [-1, -1, -1, 2, 2, 3, 4, 5]
+    left = {r["doc_id"]: r["text"] for r in cleaned.collect()}
     assert 1 not in left and 6 not in left and left[2] == "x z" and left[3] is None and left[4] == ""
 
 
