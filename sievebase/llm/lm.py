@@ -45,7 +45,7 @@ from .common import LOWER_BYTES, checkpointed, mapped
 from .textstats import as_binary
 
 MODULUS, HELD, DELETED = 7, 2, 5
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 GRAMS_PER_TASK = 1_500_000
 #: Askers whose packets meet in one task.
 FAN = 4_096
@@ -146,8 +146,8 @@ class Asked:
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
         order = np.argsort(grams)
         self.grams, self.counts = grams[order], counts[order]
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.arange(len(order))
+        self.place = np.empty(len(order), np.int32)
+        self.place[order] = np.arange(len(order), dtype=np.int32)
 
     def packets(self, chunk: int, ranges: int) -> Iterator[pa.RecordBatch]:
         ends, role = cuts(self.grams, 0, ranges, ranges), chunk % 4
@@ -165,19 +165,20 @@ class Grams:
 
     def __init__(self, row: dict):
         self.chunk = row["chunk"]
-        self.tokens = unpacked(row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = unpacked(row["tokens"], np.uint32).view(np.int32)  # a chunk has fewer words than 2 ** 31
         self.lengths = unpacked(row["lengths"], np.int64)
         hashes = np.frombuffer(row["hashes"], np.uint64)
         self.first = np.cumsum(self.lengths) - self.lengths
-        self.before = np.concatenate([[BEGIN], self.tokens[:-1]])
+        self.before = np.roll(self.tokens, 1)
         self.before[self.first] = BEGIN
-        pairs, pair_of, pair_counts = np.unique(self.before * len(hashes) + self.tokens, return_inverse=True, return_counts=True)
+        pairs, pair_of, pair_counts = np.unique(self.before.astype(np.int64) * len(hashes) + self.tokens, return_inverse=True, return_counts=True)
         self.pair_of = pair_of.astype(np.int32)
         self.pairs = mixed(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]) | np.uint64(1)
         words = np.bincount(self.tokens, minlength=len(hashes))
         words[BEGIN] = len(self.lengths)  # as a context: once a document
         self.n_words = len(hashes)
-        self.one_two = Asked(np.concatenate([hashes & ~np.uint64(1), self.pairs]), np.concatenate([words, pair_counts]))
+        self.one_two = Asked(np.concatenate([hashes & ~np.uint64(1), self.pairs]), np.concatenate([words, pair_counts]).astype(np.int32))
+        del pairs, pair_of, pair_counts
         # trigrams, of all tokens but a document's first
         self.inner = np.ones(len(self.tokens), bool)
         self.inner[self.first] = False
@@ -204,7 +205,7 @@ class Grams:
         counts = fit + more if em else fit
         words, pairs = counts[: self.n_words], counts[self.n_words :]
         elsewhere, asked = self.three(shared[self.n_words :])
-        own = self.triple_counts if self.chunk % 4 == FIT or em and self.chunk % 4 == EM else np.zeros_like(self.triple_counts)
+        own = self.triple_counts.astype(np.int64) if self.chunk % 4 == FIT or em and self.chunk % 4 == EM else np.zeros(len(self.triple_counts), np.int64)
         fit, more, _ = asked.totals([a for a in answers if a["round"] == 2], ranges[1])
         own[elsewhere] = fit + more if em else fit
         two = pairs[self.pair_of]
